@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from keystrata.llm import rank_bpe, topk
+from keystrata.llm import mixing, quality, rank_bpe, topk
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_mix": mixing.op3_mix,
     "op8_rank_bpe": rank_bpe.op8_rank_bpe,
     "op10_top_k": topk.op10_top_k,
 }
 
 SQL = {
+    "op3_mix": mixing.OP3_SQL,
     "op10_top_k": topk.OP10_SQL,
 }
