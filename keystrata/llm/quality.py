@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metada
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float32()))], names=["y", "i", "v"])
 
     got = picked.mapInArrow(featurise, "y double, i array<int>, v array<float>").toArrow()
-    rows = [(y, np.array(i, np.int32), np.array(v, np.float32)) for y, i, v in zip(*(got[c].to_pylist() for c in ("y", "i", "v")), strict=True)]
+    rows = [(y.as_py(), i.values.to_numpy(), v.values.to_numpy()) for y, i, v in zip(got["y"], got["i"], got["v"], strict=True)]
     rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # the same model whatever the order of the tasks
     return fit(rows, Features().size)
 

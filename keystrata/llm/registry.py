@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from keystrata.llm import mixing, quality, rank_bpe, topk
+from keystrata.llm import mixing, quality, rank_bpe, syncmers, token_counts, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_mix": mixing.op3_mix,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op8_rank_bpe": rank_bpe.op8_rank_bpe,
+    "op9_syncmers": syncmers.op9_syncmers,
     "op10_top_k": topk.op10_top_k,
 }
 
