@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from keystrata.llm import mixing, quality, rank_bpe, substrings, syncmers, token_counts, topk
+from keystrata.llm import minhash, mixing, quality, rank_bpe, substrings, syncmers, token_counts, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_mix": mixing.op3_mix,
     "op4_substrings": substrings.op4_substrings,
+    "op5_minhash": minhash.op5_minhash,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_rank_bpe": rank_bpe.op8_rank_bpe,
     "op9_syncmers": syncmers.op9_syncmers,
