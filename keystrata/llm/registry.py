@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keystrata.llm import minhash, mixing, quality, rank_bpe, substrings, syncmers, token_counts, topk
+from keystrata.llm import fuzzy_lines, minhash, mixing, quality, rank_bpe, substrings, syncmers, token_counts, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_substrings": substrings.op4_substrings,
     "op5_minhash": minhash.op5_minhash,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_fuzzy_lines": fuzzy_lines.op7_fuzzy_lines,
     "op8_rank_bpe": rank_bpe.op8_rank_bpe,
     "op9_syncmers": syncmers.op9_syncmers,
     "op10_top_k": topk.op10_top_k,
