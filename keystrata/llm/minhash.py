@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from keystrata.llm.common import find_words, materialize, release, table
 from keystrata.llm.substrings import WordHashes, mix
@@ -263,6 +265,28 @@ def _links(named: DataFrame, scanned: DataFrame, buckets: DataFrame, width: int,
     return first.unionByName(second)
 
 
+def one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of every group of near copies: the one with the smallest id.
+
+    Of rows that share an id, the first by a hash of the text stays. Texts without words stay.
+    """
+    found = near_duplicates(docs, width, percent)
+    kept = found.where("vertex = component").select(F.col("vertex").alias("_kept")).distinct()
+    at = docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for b in batches:
+            ids, texts = (b.column(i).to_pylist() for i in at)
+            own = [vertex(i, shingles(t, width, memo) if i is None else None) for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=[*b.schema.names, "_vertex"])
+
+    rows = docs.mapInArrow(mark, StructType([*docs.schema, StructField("_vertex", LongType())]))
+    rows = rows.join(kept, F.col("_vertex") == F.col("_kept"))
+    first = F.row_number().over(Window.partitionBy("_vertex").orderBy(F.xxhash64("text"), "text"))
+    return rows.withColumn("_n", first).where("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near copies by two-word shingles at 0.8."""
     rows = near_duplicates(table(spark, sf_dir, "documents"))

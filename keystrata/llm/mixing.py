@@ -86,34 +86,43 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return out
 
 
+def mix_plan(docs: DataFrame, weights: tuple[int, ...], max_repeat: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of all rows, and one row per source: (s, source_size, target, base, threshold)."""
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col)).alias("h"))
+    sized = materialize(sized, "mix-sizes")
+    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
+    base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = materialize(plan.withColumn("base", base).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")), "mix-plan")
+    limit = thresholds(sized, plan)
+    return sized, plan.join(limit, same_source(plan, limit)).select(plan["source"].alias("s"), "source_size", "target", "base", "threshold")
+
+
+def _copies(h, max_repeat: int) -> F.Column:
+    return F.least(F.lit(max_repeat).cast("long"), F.col("base") + (h <= F.col("threshold")).cast("long"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, h, size, source, source_size, target, copies): how often the mix takes each row.
+    """(doc_id, size, source, source_size, target, copies): how often the mix takes each row.
 
     The sources share 100 % of all words by weight. A source's rows are all taken
     floor(target / source_size) times, and the rows under its threshold once more. Null texts and
     texts without words have size 0; a null source is a source of its own; null ids are allowed.
     An empty table gives no rows. Only the three named columns are read.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col)).alias("h"))
-    sized = materialize(sized, "mix-sizes")
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
-    base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = materialize(plan.withColumn("base", base).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")), "mix-plan")
-    limit = thresholds(sized, plan)
-    plan = plan.join(limit, same_source(plan, limit)).select(plan["source"].alias("s"), "source_size", "target", "base", "threshold")
-    copies = F.least(F.lit(max_repeat).cast("long"), F.col("base") + (F.col("h") <= F.col("threshold")).cast("long"))
-    return sized.join(plan, sized["source"].eqNullSafe(plan["s"])).select("doc_id", "h", "size", "source", "source_size", "target", copies.alias("copies"))
+    sized, plan = mix_plan(docs, weights, max_repeat, id_col, text_col, source_col)
+    return sized.join(plan, sized["source"].eqNullSafe(plan["s"])).select("doc_id", "size", "source", "source_size", "target", _copies(F.col("h"), max_repeat).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as :func:`mix` takes it.
 
-    Rows with the same id and text share one decision, so the join back on them is exact.
+    A row's hash is compared with its source's threshold; rows are neither sorted nor joined to rows.
     """
-    taken = mix(docs, weights, max_repeat).where("copies > 0").select(F.col("h").alias("_mix_h"), F.col("copies").alias("_mix_copies"), F.col("source").alias("_mix_source")).distinct()
-    rows = docs.withColumn("_mix_key", row_hash(F.col("doc_id"), F.col("text")))
-    same = (F.col("_mix_key") == F.col("_mix_h")) & F.col("source").eqNullSafe(F.col("_mix_source"))
-    return rows.join(taken, same).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    _, plan = mix_plan(docs.select("doc_id", "text", "source"), weights, max_repeat, "doc_id", "text", "source")
+    plan = plan.select(F.col("s").alias("_mix_s"), F.struct("base", "threshold").alias("_mix"))
+    rows = docs.withColumn("_mix_h", row_hash(F.col("doc_id"), F.col("text"))).join(plan, F.col("source").eqNullSafe(F.col("_mix_s")))
+    copies = F.least(F.lit(max_repeat).cast("long"), F.col("_mix.base") + (F.col("_mix_h") <= F.col("_mix.threshold")).cast("long"))
+    return rows.where(copies > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from keystrata.llm import fuzzy_lines, minhash, mixing, quality, rank_bpe, substrings, syncmers, token_counts, topk
+from keystrata.llm import fuzzy_lines, minhash, mixing, quality, rank_bpe, substrings, syncmers, token_counts, topk, url_rules
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_url_rules": url_rules.op2_url_rules,
     "op3_mix": mixing.op3_mix,
     "op4_substrings": substrings.op4_substrings,
     "op5_minhash": minhash.op5_minhash,
