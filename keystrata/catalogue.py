@@ -1,10 +1,349 @@
-"""The queries over the changelog operators and their SQL."""
+"""The queries over the changelog operators and, where SQL can express them, their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES = {}
-SQL = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from keystrata.functions.codec import absolute_expiry, entry_bytes, log_name
+from keystrata.functions.text import query_params
+from keystrata.operators import bloom, cache, compaction, flush, index, metrics, resolve
+from keystrata.operators.changelog import assign_sequence, deletes, puts
+from keystrata.plans.fixtures import AS_OF_MS, kv_events, kv_orders
+from keystrata.schema import LATENCY_BUCKETS_MS
+from keystrata.sources import sst, wal
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+_EVENTS = """
+WITH kv AS (
+  SELECT 'user:' || lpad(user_id::VARCHAR, 6, '0') || ':' || (regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT % 10)::VARCHAR AS key,
+         CASE WHEN event_type = 'error' THEN '' ELSE props END AS value, event_id + 1 AS seq_num,
+         CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS type,
+         CASE WHEN event_type = 'view' THEN epoch_us(ts) // 1000 + 604800000 ELSE 0 END AS expires_at, event_id // 1000 AS segment_id
+  FROM events),
+latest AS (SELECT * FROM kv QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq_num DESC, segment_id DESC) = 1),
+live AS (SELECT * FROM latest WHERE type = 0 AND (expires_at <= 0 OR 1706659200000 <= expires_at)),
+entries AS (SELECT * FROM kv QUALIFY row_number() OVER (PARTITION BY segment_id, key ORDER BY seq_num DESC) = 1),
+sized AS (SELECT *, 25 + strlen(key) + strlen(value) AS entry_size FROM entries)
+"""
+_ROW = "key, value, seq_num, type::INTEGER AS type, expires_at"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name; its SQL goes behind the common tables over events."""
+
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            SQL[name or f.__name__] = (_EVENTS if "WITH own" not in sql else "") + sql
+        return f
+
+    return register
+
+
+def shown(df: DataFrame) -> DataFrame:
+    """Values as text and types as int, for results that other engines compare."""
+    casts = {"value": F.decode("value", "UTF-8").alias("value"), "type": F.col("type").cast("int").alias("type")}
+    return df.select(*(casts.get(c, F.col(c)) for c in df.columns))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(resolve.scan(kv_events(spark, sf_dir), "user:000000:0", "user:999999:9", AS_OF_MS))
+
+
+def _entry(df: DataFrame) -> DataFrame:
+    return shown(df.select("key", "value", "seq_num", "type", "expires_at"))
+
+
+# Reading
+
+
+@query(f"SELECT {_ROW} FROM latest")
+def kv_latest(spark, sf_dir):
+    return _entry(resolve.latest(kv_events(spark, sf_dir)))
+
+
+@query(f"SELECT {_ROW} FROM live")
+def kv_live(spark, sf_dir):
+    return _entry(resolve.live(kv_events(spark, sf_dir), AS_OF_MS))
+
+
+@query(f"SELECT {_ROW} FROM live WHERE key BETWEEN 'user:000010:0' AND 'user:000020:9'")
+def kv_scan(spark, sf_dir):
+    return _entry(resolve.scan(kv_events(spark, sf_dir), "user:000010:0", "user:000020:9", AS_OF_MS))
+
+
+@query(f"SELECT {_ROW} FROM live WHERE key = 'user:000000:6'")
+def kv_scan_single_key(spark, sf_dir):
+    return _entry(resolve.scan(kv_events(spark, sf_dir), "user:000000:6", "user:000000:6", AS_OF_MS))
+
+
+@query("SELECT key, replace(replace('{\"key\":\"' || key || '\",\"value\":\"' || replace(value, '\"', '\\\"') || '\"}', chr(10), '\\n'), chr(13), '\\r') AS json FROM live WHERE key BETWEEN 'user:000010:0' AND 'user:000020:9'")
+def kv_scan_json(spark, sf_dir):
+    return resolve.scan_json(kv_events(spark, sf_dir), "user:000010:0", "user:000020:9", AS_OF_MS)
+
+
+def _register_get(name: str, key: str) -> None:
+    @query(f"SELECT key, value FROM live WHERE key = '{key}'", name)
+    def _get(spark, sf_dir):
+        return shown(resolve.get(kv_events(spark, sf_dir), key, AS_OF_MS))
+
+
+# keys by their state at sf0.01
+for _name, _key in {"kv_get": "user:000000:0", "kv_get_ttl": "user:000000:6", "kv_get_deleted": "user:000000:2", "kv_get_expired": "user:000004:3", "kv_get_missing": "user:999999:0"}.items():
+    _register_get(_name, _key)
+
+
+def _probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots 0 to 9 of every customer: some are keys of events, most are not."""
+    custkey = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return custkey.select(F.concat(F.lit("user:"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit(":"), (F.col("c_custkey") % 10).cast("string")).alias("key"))
+
+
+_PROBES = ", probes AS (SELECT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') || ':' || (c_custkey % 10)::VARCHAR AS key FROM customer)"
+
+
+@query(_PROBES + " SELECT p.key, l.key IS NOT NULL AS found, l.value FROM probes p LEFT JOIN live l USING (key)")
+def kv_multi_get(spark, sf_dir):
+    return shown(resolve.multi_get(kv_events(spark, sf_dir), _probe_keys(spark, sf_dir), AS_OF_MS))
+
+
+@query(_PROBES + " SELECT key FROM probes WHERE key NOT IN (SELECT key FROM live)")
+def kv_miss(spark, sf_dir):
+    return resolve.missing(kv_events(spark, sf_dir), _probe_keys(spark, sf_dir), AS_OF_MS)
+
+
+@query("SELECT key, seq_num FROM latest WHERE type = 1")
+def kv_tombstones(spark, sf_dir):
+    return resolve.latest(kv_events(spark, sf_dir)).where(resolve.is_tombstone()).select("key", "seq_num")
+
+
+@query("SELECT key, seq_num, expires_at FROM latest WHERE expires_at > 0 AND 1706659200000 > expires_at")
+def kv_expired(spark, sf_dir):
+    return resolve.latest(kv_events(spark, sf_dir)).where(resolve.is_expired(AS_OF_MS)).select("key", "seq_num", "expires_at")
+
+
+@query("SELECT key, seq_num, expires_at FROM latest WHERE expires_at > 0")
+def kv_with_ttl(spark, sf_dir):
+    return resolve.latest(kv_events(spark, sf_dir)).where(resolve.has_ttl()).select("key", "seq_num", "expires_at")
+
+
+@query(f"SELECT {_ROW}, row_number() OVER (PARTITION BY key ORDER BY seq_num DESC, segment_id DESC)::INTEGER AS version FROM kv")
+def kv_history(spark, sf_dir):
+    return shown(resolve.history(kv_events(spark, sf_dir)).select("key", "value", "seq_num", "type", "expires_at", "version"))
+
+
+@query(f"SELECT {_ROW} FROM (SELECT * FROM kv WHERE seq_num <= 500 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq_num DESC) = 1) WHERE type = 0 AND (expires_at <= 0 OR 1706659200000 <= expires_at)")
+def kv_as_of_seq(spark, sf_dir):
+    return _entry(resolve.live(kv_events(spark, sf_dir), AS_OF_MS, as_of_seq=500))
+
+
+@query(f"SELECT {_ROW} FROM latest WHERE type = 0 AND (expires_at <= 0 OR 1705276800000 <= expires_at)")
+def kv_as_of_time(spark, sf_dir):
+    return _entry(resolve.live(kv_events(spark, sf_dir), 1705276800000))
+
+
+@query("WITH own AS (SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) SELECT o_custkey AS key, o_orderkey, o_orderstatus, o_totalprice FROM own")
+def kv_orders_latest(spark, sf_dir):
+    return resolve.latest(kv_orders(spark, sf_dir), ("key",), ("o_orderdate", "o_orderkey")).select("key", "o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+# Writing
+
+
+@query("WITH own AS (SELECT o_orderkey, o_custkey - 700 AS ttl, epoch_ms(o_orderdate) AS now_ms FROM orders) SELECT 'order:' || o_orderkey::VARCHAR AS key, CASE WHEN ttl > 0 THEN now_ms + ttl * 1000 ELSE 0 END AS expires_at FROM own")
+def kv_put_ttl_stamp(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    now = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    return orders.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("key"), absolute_expiry(F.col("o_custkey") - 700, now).alias("expires_at"))
+
+
+@query("WITH own AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS seq_num FROM events), w AS (SELECT user_id::VARCHAR AS key, CASE WHEN event_type = 'error' THEN '' ELSE props END AS value, seq_num, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END::INTEGER AS type FROM own) SELECT key, value, seq_num, type FROM w QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq_num DESC) = 1")
+def kv_write_sequence(spark, sf_dir):
+    """Puts and deletes numbered in order of arrival, then the newest of each key."""
+    events = assign_sequence(spark.read.parquet(f"{sf_dir}/events.parquet"), [F.col("ts"), F.col("event_id")])
+    key, error = F.col("user_id").cast("string"), F.col("event_type") == "error"
+    rows = puts(events.where(~error), key, F.encode("props", "UTF-8"), F.col("seq_num")).unionByName(deletes(events.where(error), key, F.col("seq_num")))
+    return shown(resolve.latest(rows).select("key", "value", "seq_num", "type"))
+
+
+# Segments and compaction
+
+
+@query("SELECT segment_id, count(*) AS entries, sum(entry_size)::BIGINT AS bytes FROM sized GROUP BY segment_id")
+def kv_segment_sizes(spark, sf_dir):
+    return flush.segment_sizes(flush.segment_entries(kv_events(spark, sf_dir)))
+
+
+@query("SELECT segment_id, sum(entry_size)::BIGINT AS bytes, floor(ln(sum(entry_size)) / ln(4))::INTEGER AS tier FROM sized GROUP BY segment_id")
+def kv_size_tiers(spark, sf_dir):
+    return compaction.size_tiers(flush.segment_sizes(flush.segment_entries(kv_events(spark, sf_dir))))
+
+
+@query(", t AS (SELECT segment_id, floor(ln(sum(entry_size)) / ln(4))::BIGINT AS tier FROM sized GROUP BY segment_id) SELECT segment_id, tier AS group_id FROM t WHERE tier IN (SELECT tier FROM t GROUP BY tier HAVING count(*) >= 4)")
+def kv_merge_groups(spark, sf_dir):
+    return compaction.select_merge_groups(flush.segment_sizes(flush.segment_entries(kv_events(spark, sf_dir))))
+
+
+@query("SELECT segment_id, key, seq_num, sum(d) OVER (PARTITION BY segment_id ORDER BY seq_num)::BIGINT AS net_bytes FROM (SELECT *, length(key) + strlen(value) - coalesce(lag(length(key) + strlen(value)) OVER (PARTITION BY segment_id, key ORDER BY seq_num), 0) AS d FROM kv)")
+def kv_running_size(spark, sf_dir):
+    return flush.running_size(kv_events(spark, sf_dir)).select("segment_id", "key", "seq_num", "net_bytes")
+
+
+@query()
+def kv_flush_plan(spark, sf_dir):
+    """Buffers of 16 KiB. The fold nets overwritten entries and starts anew at each flush, which no plain SQL does."""
+    return flush.flush_summary(flush.plan_flush(kv_events(spark, sf_dir), 16_384), 16_384)
+
+
+@query(f"SELECT {_ROW} FROM kv WHERE segment_id <= 3 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq_num DESC, segment_id DESC) = 1")
+def kv_compact_partial(spark, sf_dir):
+    return _entry(compaction.merge(kv_events(spark, sf_dir).where("segment_id <= 3"), False, AS_OF_MS))
+
+
+@query(f"SELECT {_ROW} FROM live")
+def kv_compact_final(spark, sf_dir):
+    return _entry(compaction.merge(flush.segment_entries(kv_events(spark, sf_dir)), True, AS_OF_MS))
+
+
+@query("SELECT (SELECT count(*) FROM entries) AS rows_in, (SELECT count(*) FROM live) AS rows_out, (SELECT count(*) FROM entries) - (SELECT count(*) FROM latest) AS superseded, (SELECT count(*) FROM latest WHERE type = 1) AS tombstones_dropped, (SELECT count(*) FROM latest WHERE type = 0 AND expires_at > 0 AND 1706659200000 > expires_at) AS expired_dropped")
+def kv_compaction_stats(spark, sf_dir):
+    return compaction.compaction_stats(flush.segment_entries(kv_events(spark, sf_dir)), True, AS_OF_MS)
+
+
+# Index, Bloom filter, cache
+
+_INDEX = ", numbered AS (SELECT segment_id, key, row_number() OVER w - 1 AS i, (sum(entry_size) OVER w - entry_size)::BIGINT AS off FROM sized WINDOW w AS (PARTITION BY segment_id ORDER BY key)), idx AS (SELECT segment_id, key, off FROM numbered WHERE i % 16 = 0)"
+
+
+@query(_INDEX + " SELECT segment_id, key, off AS \"offset\" FROM idx")
+def kv_sparse_index(spark, sf_dir):
+    return index.sparse_index(flush.segment_entries(kv_events(spark, sf_dir)))
+
+
+def _other_keys(entries: DataFrame) -> DataFrame:
+    """Keys of each segment asked of the segment after it: some are there, most are not."""
+    return entries.select((F.col("segment_id") + 1).alias("segment_id"), "key")
+
+
+@query(_INDEX + """, blocks AS (SELECT segment_id, row_number() OVER w AS n, CASE WHEN row_number() OVER w = 1 THEN '' ELSE key END AS low, lead(key) OVER w AS high, off AS s, lead(off) OVER w AS e FROM idx WINDOW w AS (PARTITION BY segment_id ORDER BY key)),
+probes AS (SELECT segment_id + 1 AS segment_id, key FROM entries)
+SELECT p.segment_id, p.key, coalesce(b.s, 0) AS "start", b.e AS "end" FROM probes p LEFT JOIN blocks b ON b.segment_id = p.segment_id AND p.key >= b.low AND (b.high IS NULL OR p.key < b.high)""")
+def kv_block_lookup(spark, sf_dir):
+    entries = flush.segment_entries(kv_events(spark, sf_dir))
+    return index.block_lookup(index.sparse_index(entries), _other_keys(entries))
+
+
+@query()
+def kv_bloom_bits(spark, sf_dir):
+    """DuckDB has no such hash; the bits are tested against known positions."""
+    return bloom.bloom_words(flush.segment_entries(kv_events(spark, sf_dir)).select("segment_id", "key"))
+
+
+@query()
+def kv_bloom_probe(spark, sf_dir):
+    entries = flush.segment_entries(kv_events(spark, sf_dir)).select("segment_id", "key")
+    sizes = bloom.filter_sizes(entries)
+    return bloom.might_contain(bloom.bloom_words(entries, sizes), sizes, _other_keys(entries))
+
+
+@query(", sg AS (SELECT DISTINCT segment_id FROM entries), p AS (SELECT DISTINCT e.segment_id + 1 AS segment_id, e.key FROM entries e WHERE e.segment_id + 1 IN (SELECT segment_id FROM sg)) SELECT (SELECT count(*) FROM p) AS probes, (SELECT count(*) FROM p JOIN entries e USING (segment_id, key)) AS present, 0::BIGINT AS false_negatives, true AS within_bound")
+def kv_bloom_fpr(spark, sf_dir):
+    """Probes, keys that are there, keys missed (none), and whether false positives stay under 1 %."""
+    entries = flush.segment_entries(kv_events(spark, sf_dir)).select("segment_id", "key")
+    sizes = bloom.filter_sizes(entries)
+    rows = bloom.false_positives(bloom.bloom_words(entries, sizes), sizes, _other_keys(entries), entries)
+    return rows.select("probes", "present", "false_negatives", (F.col("false_positives") * 100 <= F.col("probes") - F.col("present")).alias("within_bound"))
+
+
+@query()
+def kv_cache_hits(spark, sf_dir):
+    """An LRU cache of 64 blocks over the keys' accesses; its recency order is beyond plain SQL."""
+    trace = kv_events(spark, sf_dir).select(F.col("seq_num").alias("at"), F.col("key").alias("block"))
+    return cache.cache_stats(cache.cache_trace(trace, 64))
+
+
+@query("SELECT '' AS cache, count(*) AS accesses, count(*) - count(DISTINCT key) AS hits, count(DISTINCT key) AS disk_reads FROM kv")
+def kv_cache_unbounded(spark, sf_dir):
+    trace = kv_events(spark, sf_dir).select(F.col("seq_num").alias("at"), F.col("key").alias("block"))
+    return cache.cache_stats(cache.cache_trace(trace, 1 << 40))
+
+
+# Files
+
+
+@query("SELECT segment_id, seq_num, printf('%08x', strlen(key)) || lower(hex(key::BLOB)) || printf('%08x', strlen(value)) || lower(hex(value::BLOB)) || printf('%02x', type) || printf('%016x', seq_num) || printf('%016x', expires_at) AS entry FROM entries")
+def kv_entry_encode(spark, sf_dir):
+    """Table entries of every segment, as hexadecimal digits."""
+    return flush.segment_entries(kv_events(spark, sf_dir)).select("segment_id", "seq_num", F.lower(F.hex(entry_bytes())).alias("entry"))
+
+
+@query()
+def kv_wal_encode(spark, sf_dir):
+    """Log records; DuckDB has no CRC-32, so known records are tested."""
+    return wal.wal_encode(kv_events(spark, sf_dir)).select("segment_id", "seq_num", F.lower(F.hex("record")).alias("record"))
+
+
+@query(f"SELECT {_ROW} FROM latest")
+def kv_wal_replay(spark, sf_dir):
+    """Changelog to log bytes, decoded and replayed."""
+    return _entry(wal.wal_replay(wal.wal_decode(wal.wal_files(kv_events(spark, sf_dir)))))
+
+
+@query("SELECT count(DISTINCT segment_id) AS segments, count(*) AS entries, count(DISTINCT key) AS keys, max(seq_num) + 1 AS next_seq FROM kv")
+def kv_wal_recovery(spark, sf_dir):
+    return wal.recovery_stats(wal.wal_decode(wal.wal_files(kv_events(spark, sf_dir))))
+
+
+@query(f"SELECT segment_id, {_ROW} FROM entries")
+def kv_table_files(spark, sf_dir):
+    """Segments to table-file bytes and back."""
+    rows = sst.decode_tables(sst.table_files(kv_events(spark, sf_dir)))
+    return shown(rows.select("segment_id", "key", "value", "seq_num", "type", "expires_at"))
+
+
+@query("SELECT DISTINCT 'wal-' || lpad(segment_id::VARCHAR, 20, '0') || '.log' AS name FROM kv")
+def kv_wal_names(spark, sf_dir):
+    return kv_events(spark, sf_dir).select("segment_id").distinct().select(log_name(F.col("segment_id")).alias("name"))
+
+
+# Metrics
+
+
+@query("SELECT 'writes_total' AS metric, count(*) FILTER (type = 0) AS value FROM kv UNION ALL SELECT 'deletes_total', count(*) FILTER (type = 1) FROM kv UNION ALL SELECT 'memtable_flushes_total', count(DISTINCT segment_id) FROM kv")
+def kv_metrics(spark, sf_dir):
+    return metrics.write_metrics(kv_events(spark, sf_dir))
+
+
+@query()
+def kv_read_metrics(spark, sf_dir):
+    """Reads, filter skips and false positives of looking each segment's keys up in the next."""
+    entries = flush.segment_entries(kv_events(spark, sf_dir)).select("segment_id", "key")
+    sizes = bloom.filter_sizes(entries)
+    hits = bloom.might_contain(bloom.bloom_words(entries, sizes), sizes, _other_keys(entries))
+    there = entries.withColumn("present", F.lit(True))
+    return metrics.read_metrics(hits.join(there, ["segment_id", "key"], "left").withColumn("present", F.coalesce("present", F.lit(False))))
+
+
+_BUCKETS = ", ".join(f"({b}::DOUBLE)" for b in LATENCY_BUCKETS_MS)
+
+
+@query(f"WITH own AS (SELECT (value * 100)::BIGINT::DOUBLE AS ms FROM events WHERE value IS NOT NULL), b(le) AS (VALUES {_BUCKETS}) SELECT le, (SELECT count(*) FROM own WHERE ms <= le) AS count, (SELECT sum(ms) FROM own) AS sum FROM b UNION ALL SELECT NULL, count(*), sum(ms) FROM own")
+def kv_latency_histogram(spark, sf_dir):
+    """Cumulative buckets of a whole-numbered measure, so that its sum is exact in any order."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return metrics.histogram(events.select(F.round(F.col("value") * 100).cast("long").cast("double").alias("ms")), "ms")
+
+
+# Requests
+
+
+@query("WITH own AS (SELECT event_id, 'key', 'user ' || user_id::VARCHAR FROM events) SELECT event_id AS request_id, 'key' AS name, 'user ' || user_id::VARCHAR AS value FROM events UNION ALL SELECT event_id, 'value', props FROM events")
+def kv_query_params(spark, sf_dir):
+    """Query strings made of events, with a repeated, a nameless and a bare part, parsed again."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = F.concat(F.lit("key=other&=x&bare&key=user+"), F.col("user_id").cast("string"), F.lit("&value="), F.url_encode("props"))
+    return query_params(events.select(F.col("event_id").alias("request_id"), text.alias("query"), F.lit(None).cast("string").alias("body")))
