@@ -292,3 +292,20 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     component = F.when(F.col("component") < NO_ID, F.col("component"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce("doc_id", "vertex") == F.col("component")).alias("kept"))
+
+
+OP5_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+v AS (SELECT r, doc_id, coalesce(doc_id, 4611686018427387904 + r) AS v, w FROM d),
+s AS (SELECT DISTINCT r, v, s FROM (SELECT r, v, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM v)),
+n AS (SELECT r, v, count(*) AS n FROM s GROUP BY r, v),
+c AS (SELECT a.r AS ra, b.r AS rb, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT x.v AS a, y.v AS b FROM c JOIN n x ON x.r = ra JOIN n y ON y.r = rb WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT DISTINCT v AS a, v AS b FROM v UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+m AS (SELECT a AS v, min(b) AS c FROM reach GROUP BY a)
+SELECT v.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN m.c < 4611686018427387904 THEN m.c END AS component_id, v.v = m.c AS kept
+FROM v JOIN m ON m.v = v.v LEFT JOIN n ON n.r = v.r
+"""

@@ -19,5 +19,7 @@ QUERIES = {
 
 SQL = {
     "op3_mix": mixing.OP3_SQL,
+    "op4_substrings": substrings.OP4_SQL,
+    "op5_minhash": minhash.OP5_SQL,
     "op10_top_k": topk.OP10_SQL,
 }

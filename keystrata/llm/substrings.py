@@ -219,3 +219,16 @@ def _full_level(named: DataFrame, found: DataFrame, levels: Levels) -> DataFrame
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document less the 50-word windows that an earlier document has."""
     return removed_words(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS ord,
+                  coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT r, ord, p, array_to_string(w[p : p + 49], ' ') AS s FROM (SELECT r, ord, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+f AS (SELECT s, min(ord) AS first FROM s GROUP BY s),
+g AS (SELECT DISTINCT r, p + i AS k FROM (SELECT s.r, s.p, unnest(range(50)) AS i FROM s JOIN f USING (s) WHERE f.first < s.ord)),
+x AS (SELECT r, k, w[k] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d)),
+k AS (SELECT x.r, count(g.k) AS n_removed, string_agg(x.word, ' ' ORDER BY x.k) FILTER (g.k IS NULL) AS kept FROM x LEFT JOIN g ON g.r = x.r AND g.k = x.k GROUP BY x.r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r
+"""
