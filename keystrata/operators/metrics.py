@@ -43,3 +43,19 @@ def histogram_exposition(rows: DataFrame, name: str) -> DataFrame:
     bucket = F.concat(F.lit(f'{name}_bucket{{le="'), le, F.lit('"} '), F.col("count").cast("string"))
     ends = F.when(F.col("le").isNull(), F.array(bucket, F.concat(F.lit(f"{name}_sum "), F.col("sum").cast("string")), F.concat(F.lit(f"{name}_count "), F.col("count").cast("string")))).otherwise(F.array(bucket))
     return rows.select(F.explode(ends).alias("line"))
+
+
+class Observed:
+    """A histogram with cumulative buckets, kept as requests are served."""
+
+    def __init__(self, name: str, buckets: tuple[float, ...]):
+        self.name, self.buckets = name, buckets
+        self.counts, self.total, self.n = [0] * len(buckets), 0.0, 0
+
+    def add(self, value: float) -> None:
+        self.counts = [c + (value <= b) for c, b in zip(self.counts, self.buckets, strict=True)]
+        self.total, self.n = self.total + value, self.n + 1
+
+    def text(self) -> str:
+        rows = [f'{self.name}_bucket{{le="{b}"}} {c}' for b, c in zip((*self.buckets, "+Inf"), (*self.counts, self.n), strict=True)]
+        return "\n".join([f"# TYPE {self.name} histogram", *rows, f"{self.name}_sum {self.total}", f"{self.name}_count {self.n}", ""])

@@ -8,11 +8,13 @@ import json
 import os
 import secrets
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 from urllib.parse import unquote_plus, urlsplit
 
-from keystrata.schema import DEFAULT_DATA_DIR, DEFAULT_PORT
+from keystrata.operators.metrics import Observed
+from keystrata.schema import DEFAULT_DATA_DIR, DEFAULT_PORT, LATENCY_BUCKETS_MS
 from keystrata.sources.store import Store
 
 PAGE = """<!DOCTYPE html><title>keystrata</title><h1>keystrata</h1>
@@ -58,6 +60,7 @@ class Api:
     def __init__(self, store: Store, auth: Auth):
         self.store, self.auth, self.lock = store, auth, threading.Lock()
         self.counters = {"writes_total": 0, "reads_total": 0, "deletes_total": 0}
+        self.reads = Observed("read_latency_ms", LATENCY_BUCKETS_MS)
 
     def _need(self, p: dict[str, str], *names: str) -> list[str]:
         for n in names:
@@ -68,7 +71,7 @@ class Api:
     def handle(self, path: str, p: dict[str, str], authorization: str | None) -> tuple[int, str, str, dict[str, str]]:
         as_json = lambda status, x: (status, "application/json", json.dumps(x, ensure_ascii=False, separators=(",", ":")), {})
         if path == "/metrics":
-            return 200, "text/plain; version=0.0.4", "".join(f"# TYPE {k} counter\n{k} {v}\n" for k, v in self.counters.items()), {}
+            return 200, "text/plain; version=0.0.4", "".join(f"# TYPE {k} counter\n{k} {v}\n" for k, v in (self.counters | self.store.counters).items()) + self.reads.text() + self.store.compactions.text(), {}
         if path == "/ui":
             return 200, "text/html", PAGE, {}
         if path not in ("/put", "/get", "/delete", "/scan", "/stats", "/auth/rotate"):
@@ -86,7 +89,9 @@ class Api:
             if path == "/get":
                 (key,) = self._need(p, "key")
                 self.counters["reads_total"] += 1
+                began = time.perf_counter()
                 value = self.store.get(key)
+                self.reads.add((time.perf_counter() - began) * 1000)
                 return as_json(404, {"error": "not found or expired"}) if value is None else as_json(200, {"key": key, "value": value.decode(errors="replace")})
             if path == "/delete":
                 (key,) = self._need(p, "key")

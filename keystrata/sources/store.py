@@ -18,7 +18,8 @@ from keystrata.operators import resolve
 from keystrata.operators.changelog import assign_sequence, conform
 from keystrata.operators.compaction import Strategy, merge, select_merge_groups
 from keystrata.operators.flush import segment_entries, segment_sizes
-from keystrata.schema import CHANGELOG, DELETE, PUT
+from keystrata.operators.metrics import Observed
+from keystrata.schema import CHANGELOG, COMPACTION_BUCKETS_MS, DELETE, PUT
 from keystrata.sources.wal import hadoop
 
 #: Rows that one file of a segment holds, about.
@@ -36,6 +37,8 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
         self.fs, self._path = hadoop(spark, path)
         self.fs.mkdirs(self._path(f"{self.path}/manifests"))
+        self.counters = {"memtable_flushes_total": 0}
+        self.compactions = Observed("compaction_duration_ms", COMPACTION_BUCKETS_MS)
 
     # Manifests
 
@@ -96,6 +99,7 @@ class Store:
             m["segments"].append(segment)
             m["next_seq"], m["next_segment"] = max(m["next_seq"], last + 1), m["next_segment"] + 1
             self._publish(m, m["version"])
+            self.counters["memtable_flushes_total"] += 1
         return m["next_segment"] - 1
 
     def write(self, operations: DataFrame, order: list, now_ms: int) -> int:
@@ -147,7 +151,7 @@ class Store:
     def compact(self, strategy: Strategy = select_merge_groups, as_of_ms: int | None = None) -> int:
         """Merge the groups that a strategy picks; the number of groups. A group of all segments drops
         tombstones and expired entries, any other keeps them. All merges are published at once."""
-        m = self.manifest()
+        began, m = time.perf_counter(), self.manifest()
         groups: dict[int, list[int]] = {}
         # a row per segment: as many as the manifest lists
         for row in strategy(self.segments().select("segment_id", "bytes")).collect():
@@ -166,6 +170,7 @@ class Store:
                 m["next_segment"] += 1
         m["segments"] = [s for s in m["segments"] if s["id"] not in gone] + out
         self._publish(m, m["version"])
+        self.compactions.add((time.perf_counter() - began) * 1000)
         return len(groups)
 
     def vacuum(self) -> int:

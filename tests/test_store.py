@@ -106,7 +106,9 @@ def test_http(spark, tmp_path):
     assert call("/delete?key=a")[0] == 200 and call("/get?key=a")[0] == 404
     assert call("/put?key=&value=1")[0] == 400 and call("/put?key=a&value=1&ttl=x")[0] == 400 and call("/scan?from=z&to=a")[0] == 400
     assert call("/get?key=b", "wrong")[0] == 401
-    assert "writes_total 2" in call("/metrics", "none")[1] and call("/stats")[0] == 200 and "<form" in call("/ui")[1] and "endpoints" in call("/other")[1]
+    text = call("/metrics", "none")[1]
+    assert 'read_latency_ms_bucket{le="+Inf"} 2' in text and "compaction_duration_ms_count 0" in text and "memtable_flushes_total 3" in text
+    assert "writes_total 2" in text and call("/stats")[0] == 200 and "<form" in call("/ui")[1] and "endpoints" in call("/other")[1]
     old = auth.key
     new = json.loads(call("/auth/rotate")[1])["key"]
     assert len(new) == 64 and call("/stats", old)[0] == 401 and call("/stats", new)[0] == 200
