@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -51,3 +52,13 @@ def release(*frames: DataFrame) -> None:
             jvm = df.sparkSession.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let the driver find that finished steps are garbage, so that Spark deletes their shuffle files.
+
+    Called behind a step whose result is written: otherwise the files stay until the driver happens
+    to collect its garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

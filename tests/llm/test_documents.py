@@ -305,7 +305,7 @@ def xxh(text, signed=False):
 
 
 def simhash(line):
-    h = [xxh(w) for w in line.split(" ")]
+    h = [xxh(w) for w in set(line.split(" "))]
     return sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -343,9 +343,11 @@ def test_deduplicated_lines(spark):
 
 
 def test_simhash_of_short_and_long_lines(spark):
-    lines = ["a", "a b c", " ".join(f"w{i}" for i in range(255)), " ".join(f"w{i}" for i in range(700))]
-    got = spark.createDataFrame([(x,) for x in lines], "t string").select(fuzzy_lines.simhash(fuzzy_lines.word_hashes(F.col("t")))).collect()
-    assert [r[0] for r in got] == [simhash(x) for x in lines]
+    lines = ["a", "a b c", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(700)), *(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(n)) for n in (fuzzy_lines.FULL, fuzzy_lines.FULL + 1))]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = fuzzy_lines.occurrences(df, "doc_id", "text")
+    got = fuzzy_lines.simhashes(found, found).collect()
+    assert {r.ord: r.sim for r in got} == {i: simhash(re.sub("[0-9]+", "0", x)) for i, x in enumerate(lines)}
 
 
 # Byte-level BPE
