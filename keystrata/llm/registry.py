@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_url_rules": url_rules.OP2_SQL,
     "op3_mix": mixing.OP3_SQL,
     "op4_substrings": substrings.OP4_SQL,
     "op5_minhash": minhash.OP5_SQL,

@@ -132,3 +132,39 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rows = judge(pages, labelled_urls(pages, table(spark, sf_dir, "labels")))
     return rows.withColumn("learned", F.array_join("learned", " "))
+
+
+OP2_SQL = """
+WITH u AS (
+  SELECT url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM (SELECT DISTINCT url FROM pages)),
+t AS (
+  SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                 WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+                 WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
+         list_sort(list_distinct(list_filter(list_concat(
+           ['scheme:' || regexp_extract(url, '(?s)^(.*?)://', 1)], list_transform(string_split(host, '.'), lambda x: 'host:' || x),
+           list_transform(string_split(regexp_replace(regexp_replace(path, '\\.[A-Za-z0-9]+$', ''), '[0-9]+', '#', 'g'), '/'), lambda x: 'path:' || x),
+           ['type:' || regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)],
+           list_transform(string_split(regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '&'), lambda x: 'query:' || regexp_extract(x, '^([^=]*)', 1)),
+           ['fragment:' || regexp_extract(url, '(?s)#(.*)$', 1)]), lambda x: NOT ends_with(x, ':') OR length(x) - length(replace(x, ':', '')) > 1))) AS own
+  FROM u),
+l AS (
+  SELECT row_number() OVER () AS r, own, label FROM (
+    SELECT t.own, CASE WHEN quality = 0 OR toxic = 1 THEN 'block' WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 'allow' END AS label
+    FROM pages p JOIN labels ON p.page_id = labels.doc_id JOIN t ON t.url = p.url) WHERE label IS NOT NULL),
+c AS (SELECT item, count(*) AS n FROM (SELECT unnest(own) AS item FROM l) GROUP BY item),
+k AS (SELECT item FROM c WHERE n >= 0.005 * (SELECT count(*) FROM l) AND n <= 0.5 * (SELECT count(*) FROM l)),
+b AS (SELECT r, label, list(item ORDER BY item) AS items FROM (SELECT r, label, unnest(own) AS item FROM l) WHERE item IN (SELECT item FROM k) GROUP BY r, label),
+s AS (SELECT label, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items FROM (SELECT label, items, unnest(range(1, 1 << len(items))) AS m FROM b)),
+f AS (SELECT items, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY items) AS every FROM s GROUP BY items, label),
+rules AS (SELECT items, label, n / every::DOUBLE AS confidence, n / (SELECT count(*) FROM b)::DOUBLE AS support FROM f
+          WHERE n >= ceil(0.005::DOUBLE * (SELECT count(*) FROM b)) AND n / every::DOUBLE >= 0.6),
+m AS (SELECT t.url, rules.label, array_to_string(rules.items, ' ') AS learned FROM t JOIN rules ON list_has_all(t.own, rules.items) WHERE t.rule IS NULL
+      QUALIFY row_number() OVER (PARTITION BY t.url ORDER BY confidence DESC, support DESC, len(rules.items) DESC, learned, rules.label) = 1)
+SELECT p.page_id, coalesce(t.host, '') AS host, coalesce(t.path, '') AS path, t.rule,
+       CASE WHEN t.rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN t.rule IS NOT NULL THEN 'block' ELSE coalesce(m.label, 'allow') END AS verdict, m.learned
+FROM pages p LEFT JOIN t ON t.url = p.url LEFT JOIN m ON m.url = p.url
+"""
