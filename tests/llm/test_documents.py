@@ -149,6 +149,12 @@ def test_substrings(spark, docs, kind):
     assert got == sorted(brute_substrings(rows), key=key)
 
 
+def test_sql_of_substrings_and_near_copies(oracle, docs):
+    assert sorted(oracle.sql(registry.SQL["op4_substrings"]).fetchall()) == sorted(brute_substrings(docs))
+    got = oracle.sql(registry.SQL["op5_minhash"]).fetchall()
+    assert sorted(r[:3] for r in got) == sorted(brute_components(docs, 2)) and all(kept == (i == c) for i, _, c, kept in got)
+
+
 def test_substrings_edges(spark):
     assert substrings.removed_words(frame(spark, AWKWARD).limit(0)).count() == 0
     rows = [(1, "a b c d e f"), (2, "x a b c d y b c d e")]
@@ -271,7 +277,7 @@ def brute_lines(rows):
     occ, first = [], {}
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n") if t is not None else []):
-            line = re.sub("[\x20\x09\x0b-\x0d]+", " ", re.sub("[0-9]+", "0", line)).lower().strip(" ")
+            line = re.sub("[\x20\x09\x0b-\x0d]+", " ", re.sub("[0-9]+", "0", "".join(lower(c) for c in line))).strip(" ")
             if line:
                 occ.append(((1 << 63) - 1 if i is None else i, xxh(t, True), n, line))
     for *_, line in occ:
@@ -299,6 +305,10 @@ def brute_lines(rows):
     return gone
 
 
+def lower(c):
+    return c.lower() if ord(c) < 0x10000 and len(c.lower()) == 1 else c
+
+
 def xxh(text, signed=False):
     h = xxhash.xxh64_intdigest(text.encode(), seed=42)
     return h - (1 << 64) if signed and h >> 63 else h

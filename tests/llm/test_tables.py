@@ -66,7 +66,8 @@ def test_mined_rules_by_brute_force(spark):
         assert got.get(u) == (min(fits)[4] if fits else None)
 
 
-def test_every_page_is_judged(spark):
+def test_every_page_is_judged_as_sql_does(spark, oracle):
+    same_rows(registry.QUERIES["op2_url_rules"](spark, SF), oracle.sql(registry.SQL["op2_url_rules"]))
     rows = registry.QUERIES["op2_url_rules"](spark, SF).collect()
     assert len(rows) == 50 and {r.verdict for r in rows} <= {"allow", "block"}
 
