@@ -439,6 +439,18 @@ def test_likeness():
     assert 0.3 < syncmers.likeness(f(a), f(half)) < 0.7
 
 
+def test_texts_without_syncmers_are_told_apart():
+    import random
+
+    random.seed(3)
+    for n in range(1, 32):
+        texts = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for _ in range(60)]
+        prints = {t: syncmers.fingerprint(t) for t in texts}
+        assert all(prints.values()) and len(set(prints.values())) == len(prints)
+        a, b = list(prints.values())[:2]
+        assert syncmers.likeness(a, b) < 1 and syncmers.likeness(a, "") == 0
+
+
 def test_syncmers_by_definition():
     text = "".join(chr(97 + i * i % 23) for i in range(120))
     codes = np.array([ord(c) + 1 for c in text], object)
