@@ -360,6 +360,39 @@ def test_simhash_of_short_and_long_lines(spark):
     assert {r.ord: r.sim for r in got} == {i: simhash(re.sub("[0-9]+", "0", x)) for i, x in enumerate(lines)}
 
 
+def test_wide_rule_finds_changed_words_and_characters(spark):
+    import random
+
+    random.seed(7)
+    word = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, near = [], 0
+    for i in range(200):
+        words = [word(random.randint(4, 7)) for _ in range([3, 5, 10, 20, 50][i % 5])]
+        line, most = " ".join(words), len(" ".join(words)) // 10
+        other, at = list(line), random.randrange(len(line))
+        if i % 2 and len(words) > 5:  # another word of the same length in place of one
+            k = max(range(len(words)), key=lambda k: (len(words[k]) <= most, random.random()))
+            other = list(" ".join([*words[:k], word(len(words[k])), *words[k + 1 :]]))
+        else:  # one character changed, left out or added
+            other[at : at + 1] = [["#"], [], [other[at], "#"]][i // 5 % 3]
+        other = "".join(other)
+        if other.strip(" ") == other and "  " not in other and distance(line, other) <= int(max(len(line), len(other)) * 0.1):
+            near += 1
+            rows += [(2 * i, line), (2 * i + 1, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near > 150 and {r.ord for r in fuzzy_lines.removed_lines(df, wide=True).collect()} == {i for i, _ in rows if i % 2}
+    # lines that share most runs but are no near copies stay
+    far = spark.createDataFrame([(1, A60), (2, " ".join(A60.split(" ")[:40]) + " " + " ".join(word(6) for _ in range(20)))], df.schema)
+    assert fuzzy_lines.removed_lines(far, wide=True).count() == 0
+
+
+def test_query_uses_the_wide_rule(spark, docs):
+    df = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    wide = fuzzy_lines.removed_lines(df, wide=True).selectExpr("coalesce(sum(size(gone)), 0) AS n").head().n
+    narrow = fuzzy_lines.removed_lines(df).selectExpr("coalesce(sum(size(gone)), 0) AS n").head().n
+    assert registry.QUERIES["op7_fuzzy_lines"](spark, SF).selectExpr("sum(n_removed) AS n").head().n == wide > narrow
+
+
 # Byte-level BPE
 
 
