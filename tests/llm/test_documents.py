@@ -272,30 +272,63 @@ def test_splices_of_random_texts():
 # Lines
 
 
+def normal_form(line):
+    return re.sub("[\x20\t\x0b\f\r]+", " ", re.sub("[0-9]+", "0", line.lower())).strip(" ")
+
+
+def distance(a, b):
+    """Edit distance, a column of the table at a time as bits of one number."""
+    if not a:
+        return len(b)
+    at, mask = defaultdict(int), (1 << len(a)) - 1
+    for i, x in enumerate(a):
+        at[x] |= 1 << i
+    up, down, n = mask, 0, len(a)
+    for x in b:
+        same = at[x]
+        flat = (((same & up) + up) ^ up) | same | down
+        more, less = down | ~(flat | up), up & flat
+        n += bool(more >> len(a) - 1 & 1) - bool(less >> len(a) - 1 & 1)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(flat | more)) & mask, more & flat & mask
+    return n
+
+
+def alike_pairs(lines):
+    """Pairs of places of lines by edit distance alone: at most a tenth of the longer one. How often
+    letters occur bounds the distance from below and rules most pairs out."""
+    size = np.array([len(x) for x in lines])
+    letters = np.zeros((len(lines), 64), np.int32)
+    for i, x in enumerate(lines):
+        np.add.at(letters[i], np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, 1)
+    for i in range(len(lines)):
+        most = np.maximum(size[:i], size[i]) // 10
+        near = np.nonzero(np.abs(size[:i] - size[i]) <= most)[0]
+        differ = np.abs(letters[near] - letters[i]).sum(1)
+        for j in near[differ <= 2 * most[near]]:
+            if distance(lines[i], lines[j]) <= most[j]:
+                yield int(j), i
+
+
 def brute_lines(rows):
     """Removed line numbers of rows (id, text), by comparing every pair of normal forms."""
     occ, first = [], {}
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n") if t is not None else []):
-            line = re.sub("[\x20\x09\x0b-\x0d]+", " ", re.sub("[0-9]+", "0", "".join(lower(c) for c in line))).strip(" ")
+            line = normal_form(line)
             if line:
                 occ.append(((1 << 63) - 1 if i is None else i, xxh(t, True), n, line))
     for *_, line in occ:
         first.setdefault(line, len(first))
-    lines = list(first)
-    sims = [simhash(x) for x in lines]
-    parent = list(range(len(lines)))
+    parent = list(range(len(first)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in range(len(lines)):
-        for b in range(a):
-            most = int(max(len(lines[a]), len(lines[b])) * 0.1)
-            if (sims[a] ^ sims[b]).bit_count() <= 3 and distance(lines[a], lines[b]) <= most:
-                parent[find(a)] = find(b)
+    for a, b in alike_pairs(list(first)):
+        parent[find(a)] = find(b)
     seen, gone = set(), defaultdict(set)
     for o, h, n, line in sorted(set(occ)):
         g = find(first[line])
@@ -305,40 +338,45 @@ def brute_lines(rows):
     return gone
 
 
-def lower(c):
-    return c.lower() if ord(c) < 0x10000 and len(c.lower()) == 1 else c
-
-
 def xxh(text, signed=False):
     h = xxhash.xxh64_intdigest(text.encode(), seed=42)
     return h - (1 << 64) if signed and h >> 63 else h
 
 
-def simhash(line):
-    h = [xxh(w) for w in set(line.split(" "))]
-    return sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+def test_distance():
+    assert [distance(a, b) for a, b in (("", "ab"), ("ab", ""), ("kitten", "sitting"), ("abc", "abc"), ("flaw", "lawn"))] == [2, 2, 3, 0, 2]
 
 
-LINES = [r for r in AWKWARD if r[0] != 10] + [(40 + i, " ".join(f"word{j}{'abcdefgh'[i] if j == i * 3 else ''}" for j in range(60)) + f"\nown line {'xyzuvwrs'[i]}", "en", "a", 1) for i in range(8)] + [(60, " ".join("abcd"[(i * i) % 4] + "e" for i in range(600)), "en", "a", 1)]
+LINES = [r for r in AWKWARD if r[0] != 10] + [(40 + i, " ".join(f"word{j}{'abcdefgh'[i] if j == i * 3 else ''}" for j in range(60)) + f"\nown line {'xyzuvwrs'[i]}", "en", "a", 1) for i in range(8)]
+LINES += [(60, " ".join("abcd"[(i * i) % 4] + "e" for i in range(600)), "en", "a", 1), (61, "\n\n", "en", "a", 2), (62, "\u4e2d\u6587" * 60 + "\u5b57", "zh", "a", 1), (63, "\u4e2d\u6587" * 60 + "\u56fd", "zh", "a", 1), ((1 << 63) - 1, "the last id there is", "en", "a", 1)]
+LINES += [(None, f"one of many rows without an id {i % 3}", "en", "a", 1) for i in range(6)]
 
 
 @pytest.mark.parametrize("kind", ["table", "awkward"])
 def test_lines(spark, docs, kind):
-    rows = [(i, t) for i, t, _ in docs][:60] if kind == "table" else [r[:2] for r in LINES]
+    rows = [(i, t) for i, t, _ in docs] if kind == "table" else [r[:2] for r in LINES]
     df = spark.createDataFrame(rows, "doc_id long, text string") if kind == "table" else frame(spark, LINES)
-    want = brute_lines(rows)
     got = {(r.ord, r.th): set(r.gone) for r in fuzzy_lines.removed_lines(df).collect()}
-    assert got == dict(want)
+    assert got == dict(brute_lines(rows))
+
+
+def test_fuzzy_lines_query(spark, docs):
+    """The whole query against the comparison of all pairs of lines by edit distance alone."""
+    gone, want = brute_lines([(i, t) for i, t, _ in docs]), []
+    for i, t, _ in docs:
+        lines = t.split("\n")
+        kept = [x for n, x in enumerate(lines) if n not in gone[i, xxh(t, True)]]
+        want.append((i, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+    got = registry.QUERIES["op7_fuzzy_lines"](spark, SF)
+    assert got.columns == ["doc_id", "n_lines", "n_removed", "kept_sha256"]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and sum(r[2] for r in want) > 0
+
+
+def test_very_long_lines(spark):
+    a, b = (" ".join(f"{x}{i * 7919 % 1000:03d}x" for i in range(4000)).translate(str.maketrans("0123456789", "abcdefghij")) for x in "kq")
+    rows = [(1, a), (2, a[:9000] + "edit" + a[9000:]), (3, b), (4, a + "\n" + "z" * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.ord, *r.gone) for r in fuzzy_lines.removed_lines(df).collect()} == {(2, 0), (4, 0)}
 
 
 def test_deduplicated_lines(spark):
@@ -349,48 +387,64 @@ def test_deduplicated_lines(spark):
     assert got[9].text == "short line 12\nother" and got[9].n_chars == len(got[9].text)
     assert 1 in got and 3 not in got and got[4].text == "" and got[5].text is None and got[6].text == " \n\t\n "
     assert fuzzy_lines.removed_lines(rows.limit(0)).count() == 0 and fuzzy_lines.deduplicate_lines(rows.limit(0)).count() == 0
-    assert registry.QUERIES["op7_fuzzy_lines"](spark, SF).count() == 200
 
 
-def test_simhash_of_short_and_long_lines(spark):
-    lines = ["a", "a b c", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(700)), *(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(n)) for n in (fuzzy_lines.FULL, fuzzy_lines.FULL + 1))]
-    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    found = fuzzy_lines.occurrences(df, "doc_id", "text")
-    got = fuzzy_lines.simhashes(found, found).collect()
-    assert {r.ord: r.sim for r in got} == {i: simhash(re.sub("[0-9]+", "0", x)) for i, x in enumerate(lines)}
+def test_lines_beside_clashing_columns(spark):
+    named = "doc_id long, text string, row string, lines string, kept int, ord int, th int, gone string, k1 string, key string"
+    df = spark.createDataFrame([(i, "the same line here\n" + "abc"[i] * 9, "r", "l", i, 1, 2, "g", "k", "y") for i in range(3)], named)
+    got = sorted(fuzzy_lines.deduplicate_lines(df).collect())
+    assert [tuple(r) for r in got] == [(i, ("the same line here\n" if not i else "") + "abc"[i] * 9, "r", "l", i, 1, 2, "g", "k", "y") for i in range(3)]
 
 
-def test_wide_rule_finds_changed_words_and_characters(spark):
-    import random
+def brute_block(words):
+    """The SimHash of a block's words, a bit at a time."""
+    h, out = [xxh(w) for w in words], 0
+    for j in range(fuzzy_lines.LONGS):
+        for i in range(6):
+            b = fuzzy_lines.STRIDE * i + j
+            out |= (2 * sum(x >> 4 + b & 1 for x in h) > len(h)) << b
+    return out
 
-    random.seed(7)
-    word = lambda n: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    rows, near = [], 0
-    for i in range(200):
-        words = [word(random.randint(4, 7)) for _ in range([3, 5, 10, 20, 50][i % 5])]
-        line, most = " ".join(words), len(" ".join(words)) // 10
-        other, at = list(line), random.randrange(len(line))
-        if i % 2 and len(words) > 5:  # another word of the same length in place of one
-            k = max(range(len(words)), key=lambda k: (len(words[k]) <= most, random.random()))
-            other = list(" ".join([*words[:k], word(len(words[k])), *words[k + 1 :]]))
-        else:  # one character changed, left out or added
-            other[at : at + 1] = [["#"], [], [other[at], "#"]][i // 5 % 3]
-        other = "".join(other)
-        if other.strip(" ") == other and "  " not in other and distance(line, other) <= int(max(len(line), len(other)) * 0.1):
-            near += 1
-            rows += [(2 * i, line), (2 * i + 1, other)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert near > 150 and {r.ord for r in fuzzy_lines.removed_lines(df, wide=True).collect()} == {i for i, _ in rows if i % 2}
-    # lines that share most runs but are no near copies stay
-    far = spark.createDataFrame([(1, A60), (2, " ".join(A60.split(" ")[:40]) + " " + " ".join(word(6) for _ in range(20)))], df.schema)
-    assert fuzzy_lines.removed_lines(far, wide=True).count() == 0
+
+def test_block_simhashes(spark):
+    for n in (1, 2, 3, 8, 200, 511):
+        words = [f"w{i}" for i in range(n)]
+        df = spark.createDataFrame([(w,) for w in words], "w string").withColumn("h", F.xxhash64("w"))
+        sums = df.agg(F.count("*").alias("n"), *(F.sum(c).alias(f"c{j}") for j, c in enumerate(fuzzy_lines.counters(F.col("h")))))
+        got = sums.select(fuzzy_lines.majority(F.col("n"), [F.col(f"c{j}") for j in range(fuzzy_lines.LONGS)]).alias("x")).head().x
+        assert got == brute_block(words)
 
 
-def test_query_uses_the_wide_rule(spark, docs):
-    df = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
-    wide = fuzzy_lines.removed_lines(df, wide=True).selectExpr("coalesce(sum(size(gone)), 0) AS n").head().n
-    narrow = fuzzy_lines.removed_lines(df).selectExpr("coalesce(sum(size(gone)), 0) AS n").head().n
-    assert registry.QUERIES["op7_fuzzy_lines"](spark, SF).selectExpr("sum(n_removed) AS n").head().n == wide > narrow
+@pytest.mark.parametrize("n_words", [2, 5, 10, 20, 40])
+def test_recall_of_edited_lines(spark, n_words):
+    """Lines of made-up words and copies with one edited character, or one other word where that is within a tenth."""
+    import random
+
+    rng = random.Random(n_words)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, near = [], []
+    for i in range(150):
+        words = [word(rng.randint(4, 7)) for _ in range(n_words)]
+        line = " ".join(words)
+        if i % 2 and n_words >= 10:  # 1 to 3 other words in place of some, as long as them
+            for k in rng.sample(range(n_words), rng.randint(1, 1 + n_words // 20)):
+                words[k] = word(len(words[k]))
+            other = " ".join(words)
+        else:  # characters changed, left out or added
+            other = list(line)
+            for at in rng.sample(range(len(line)), rng.randint(1, 1 + n_words // 20)):
+                other[at : at + 1] = [["#"], [], [other[at], "#"]][i % 3]
+            other = normal_form("".join(other))
+        rows += [(2 * i, line), (2 * i + 1, other)]
+        if distance(line, other) <= max(len(line), len(other)) // 10:
+            near.append(2 * i + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.ord for r in fuzzy_lines.removed_lines(df).collect()}
+    assert len(near) > 100 and got <= set(near) and len(got) >= 0.95 * len(near)
+    # lines that share most words but are no near copies stay
+    words = rows[0][1].split(" ")
+    far = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[: n_words * 2 // 3] + [word(6) for _ in range(n_words - n_words * 2 // 3)]))], df.schema)
+    assert fuzzy_lines.removed_lines(far).count() == 0
 
 
 # Byte-level BPE
