@@ -30,12 +30,16 @@ _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 class WordHashes(dict):
-    """Hashes of words, remembered up to a bound."""
+    """Hashes of words by a seed, remembered up to a bound."""
+
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
 
     def __missing__(self, word: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        h = self[word] = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed)
         return h
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -85,11 +89,11 @@ class Levels:
         seen = np.lib.stride_tricks.sliding_window_view(mix(quarter)[: starts + inner - 1], inner)
         return np.arange(starts) + seen.argmin(1), quarter, half
 
-    def full_hashes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of every full window: two halves joined, in two lanes."""
+    def full_hashes(self, words: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of every full window: two halves joined, in two lanes, from two hashes of each word."""
         rest = self.full - self.half
         out = []
-        for lane, w in enumerate((words, mix(words))):
+        for lane, w in enumerate((words, again)):
             half = window_hashes(w, self.half, lane)
             out.append(mix(joined(half, self.half, half if rest == self.half else window_hashes(w, rest, lane), rest, lane)))
         return out[0], out[1]
@@ -105,9 +109,8 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), _signed(values) if kind == pa.int64() else pa.array(values.astype(np.int32)))
 
 
-def _digest(words: list[str]) -> tuple[str, int]:
-    sha = hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass"))
-    return sha.hexdigest(), int.from_bytes(sha.digest()[:4], "big", signed=True)
+def _digest(words: list[str]) -> str:
+    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def survivors(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,16 +128,17 @@ def removed_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     levels = Levels(window)
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.col(text_col).alias("text"))
+    # an id and a hash of the text name a text: rows without an id share the last place, not their texts
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("th"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, info, found = batch.slice(at, 500), [], []
-                for text in part.column(2).to_pylist():
+                for text in part.column(3).to_pylist():
                     words = find_words(text or "")
-                    info.append((len(words), *_digest(words)))
+                    info.append((len(words), _digest(words)))
                     if len(words) < levels.full:
                         found.append((np.empty(0, np.int32), np.empty(0, np.uint64), np.empty(0, np.uint64)))
                         continue
@@ -142,26 +146,26 @@ def removed_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                     place = np.unique(place)
                     found.append((place, quarter[place], half[place]))
                 lists = [_lists([f[i] for f in found], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([x[i] for x in info], k) for i, k in enumerate((pa.int64(), pa.string(), pa.int32()))), *lists], names=["doc_id", "ord", "n_words", "sha", "sub", "pos", "q", "h"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array([x[i] for x in info], k) for i, k in enumerate((pa.int64(), pa.string()))), *lists], names=["doc_id", "ord", "th", "n_words", "sha", "pos", "q", "h"])
 
-    scanned = materialize(named.mapInArrow(scan, "doc_id long, ord long, n_words long, sha string, sub int, pos array<int>, q array<long>, h array<long>"), "sub-scan")
-    rows = scanned.select("doc_id", "ord", "n_words", "sha", "sub")
+    scanned = materialize(named.mapInArrow(scan, "doc_id long, ord long, th long, n_words long, sha string, pos array<int>, q array<long>, h array<long>"), "sub-scan")
+    rows = scanned.select("doc_id", "ord", "th", "n_words", "sha")
     # documents with the same words: the smallest id stands for all
     least = rows.groupBy("sha").agg(F.min("ord").alias("least"))
     rows = materialize(rows.join(least, "sha"), "sub-rows")
-    alone = rows.where(F.col("ord") == F.col("least")).select("ord", "sub").distinct()
-    level = scanned.where(F.size("pos") > 0).select("ord", "sub", "pos", "q", "h").join(alone, ["ord", "sub"], "left_semi")
-    level = level.select("ord", "sub", F.explode(F.arrays_zip("pos", "q", "h")).alias("x")).select("ord", "sub", "x.*")
-    level = materialize(survivors(level, ["q"]).select("ord", "sub", "pos", "h"), "sub-quarter")
-    found = materialize(survivors(level, ["h"]).groupBy("ord", "sub").agg(F.collect_set("pos").alias("pos")), "sub-half")
+    alone = rows.where(F.col("ord") == F.col("least")).select("ord", "th").distinct()
+    level = scanned.where(F.size("pos") > 0).select("ord", "th", "pos", "q", "h").join(alone, ["ord", "th"], "left_semi")
+    level = level.select("ord", "th", F.explode(F.arrays_zip("pos", "q", "h")).alias("x")).select("ord", "th", "x.*")
+    level = materialize(survivors(level, ["q"]).select("ord", "th", "pos", "h"), "sub-quarter")
+    found = materialize(survivors(level, ["h"]).groupBy("ord", "th").agg(F.collect_set("pos").alias("pos")), "sub-half")
     release(scanned, level)
-    result = rows.select("doc_id", "n_words", "sha", "ord", "least")
+    result = rows.select("doc_id", "n_words", "sha", "ord", "th", "least")
     if found.isEmpty():
-        gone = spark.createDataFrame([], "ord long, sha string, n_removed long, kept string")
+        gone = spark.createDataFrame([], "ord long, th long, n_removed long, kept string")
     else:
         gone = _full_level(named, found, levels)
     copy = (F.col("ord") > F.col("least")) & (F.col("n_words") >= window)
-    result = result.join(gone, ["ord", "sha"], "left")
+    result = result.join(gone, ["ord", "th"], "left")
     return result.select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(_NOTHING)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
@@ -169,51 +173,47 @@ def removed_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
 
 def _full_level(named: DataFrame, found: DataFrame, levels: Levels) -> DataFrame:
-    """(ord, sha, n_removed, kept) of the documents that lose words, from the anchors left."""
+    """(ord, th, n_removed, kept) of the documents that lose words, from the anchors left."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo, second = WordHashes(), WordHashes(1)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 out = []
-                for o, s, text, pos in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
+                for o, th, text, pos in zip(*(c.to_pylist() for c in batch.slice(at, 200).columns), strict=True):
                     words = find_words(text or "")
-                    if len(words) < levels.full or _digest(words)[1] != s:  # another text under the same id
-                        continue
                     hashes = memo.of(words)
                     place, _, _ = levels.anchors(hashes)
                     alive = np.nonzero(np.isin(place, np.array(pos)))[0]
-                    a, b = levels.full_hashes(hashes)
-                    out.append((o, s, alive, a[alive], b[alive]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), *(_lists([x[i] for x in out], k) for i, k in ((2, pa.int32()), (3, pa.int64()), (4, pa.int64())))], names=["ord", "sub", "start", "a", "b"])
+                    a, b = levels.full_hashes(hashes, second.of(words))
+                    out.append((o, th, alive, a[alive], b[alive]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), *(_lists([x[i] for x in out], k) for i, k in ((2, pa.int32()), (3, pa.int64()), (4, pa.int64())))], names=["ord", "th", "start", "a", "b"])
 
-    texts = named.select("ord", "text")
-    full = texts.join(found, "ord").select("ord", "sub", "text", "pos").mapInArrow(extend, "ord long, sub int, start array<int>, a array<long>, b array<long>")
+    texts = named.select("ord", "th", "text").where("text IS NOT NULL")
+    full = texts.join(found, ["ord", "th"]).select("ord", "th", "text", "pos").mapInArrow(extend, "ord long, th long, start array<int>, a array<long>, b array<long>")
     full = materialize(full, "sub-full")
-    full_rows = full.select("ord", "sub", F.explode(F.arrays_zip("start", "a", "b")).alias("x")).select("ord", "sub", "x.*")
-    first = full_rows.groupBy("a", "b").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("a", "b", "lo")
-    later = full_rows.join(first, ["a", "b"]).where("lo < ord").groupBy("ord", "sub").agg(F.collect_set("start").alias("start"))
+    full_rows = full.select("ord", "th", F.explode(F.arrays_zip("start", "a", "b")).alias("x")).select("ord", "th", "x.*")
+    # repeated windows alone, and written: from a table, a hot window of the join can be split
+    first = materialize(full_rows.groupBy("a", "b").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("a", "b", "lo"), "sub-first")
+    later = full_rows.join(first, ["a", "b"]).where("lo < ord").groupBy("ord", "th").agg(F.collect_set("start").alias("start"))
     later = materialize(later, "sub-later")
-    release(found, full)
+    release(found, full, first)
 
     def strike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for o, s, text, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for o, th, text, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = find_words(text or "")
-                sha, sub = _digest(words)
-                if sub != s:
-                    continue
                 edge = np.zeros(len(words) + 1, np.int64)
                 start = np.array(start)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + levels.full, -1)
                 kept = (np.cumsum(edge[:-1]) == 0).tolist()
-                out.append({"ord": o, "sha": sha, "n_removed": len(words) - sum(kept), "kept": _digest([w for w, k in zip(words, kept, strict=True) if k])[0]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("ord", pa.int64()), ("sha", pa.string()), ("n_removed", pa.int64()), ("kept", pa.string())]))
+                out.append({"ord": o, "th": th, "n_removed": len(words) - sum(kept), "kept": _digest([w for w, k in zip(words, kept, strict=True) if k])})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("ord", pa.int64()), ("th", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
-    struck = texts.join(later, "ord").select("ord", "sub", "text", "start").mapInArrow(strike, "ord long, sha string, n_removed long, kept string")
-    return struck.dropDuplicates(["ord", "sha"])  # a repeated row is struck once
+    struck = texts.join(later, ["ord", "th"]).select("ord", "th", "text", "start").mapInArrow(strike, "ord long, th long, n_removed long, kept string")
+    return struck.dropDuplicates(["ord", "th"])  # a repeated row is struck once
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
