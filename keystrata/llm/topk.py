@@ -16,19 +16,22 @@ from pyspark.sql.window import Window
 
 from keystrata.llm.common import table
 
-#: Scaled components are held within +-2**24, so that sums of up to 2**15 products fit a long.
-LIMIT = 1 << 24
+#: Query blocks are so many times as wide as candidate blocks: a query costs a group its vector alone,
+#: and every candidate is shuffled once per query block.
+WIDER = 16
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, v): vectors that take part, each component as floor(scale * x).
+    """(id, v): vectors that take part, each component as floor(scale * x), a whole number in a double.
 
     Rows with a null id, a null vector, or a null or non-finite component take no part.
     An empty vector takes part and scores 0 against everything.
     """
     x = F.col(vec_col)
     fine = F.forall(x, lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < F.lit(float("inf"))))
-    scaled = F.transform(x, lambda a: F.floor(F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), a.cast("double") * scale))).cast("int"))
+    # a double from 2**52 on is a whole number
+    whole = lambda a: F.when(F.abs(a) < F.lit(float(1 << 52)), F.floor(a).cast("double")).otherwise(a)
+    scaled = F.transform(x, lambda a: whole(a.cast("double") * scale))
     return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), scaled.alias("v"))
 
 
@@ -37,7 +40,14 @@ def _rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def whole(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in doubles as exact integers of any size."""
+    if not np.isfinite(values).all():
+        raise OverflowError("a scaled component exceeds the largest double: its scores fit no long")
+    return np.array([int(x) for x in values.tolist()], object)
 
 
 def postings(values: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
@@ -57,7 +67,7 @@ def postings(values: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray |
 
 def accumulate(query: np.ndarray, lists: list, n: int) -> np.ndarray:
     """Scores of all n candidates against one sparse query row; missing terms count as 0."""
-    scores = np.zeros(n, np.int64)
+    scores = np.zeros(n, query.dtype)
     for t in np.nonzero(query[: len(lists)])[0]:
         at, w = lists[t]
         if at is None:
@@ -67,6 +77,42 @@ def accumulate(query: np.ndarray, lists: list, n: int) -> np.ndarray:
     return scores
 
 
+class Block:
+    """Candidates as postings: in longs those whose sums of products cannot overflow one, the others
+    in integers of any size. What a row is held in depends on its components alone."""
+
+    #: Components up to this and rows up to 2**15 of them make sums that fit a long.
+    FIT, TERMS = float(1 << 23), 1 << 15
+
+    def __init__(self, values: np.ndarray, offsets: np.ndarray):
+        self.n = len(offsets) - 1
+        lengths = np.diff(offsets)
+        row = np.repeat(np.arange(self.n), lengths)
+        self.large = np.bincount(row[~(np.abs(values) <= self.FIT)], minlength=self.n) + (lengths > self.TERMS) > 0
+        self.at = [np.nonzero(~self.large)[0], np.nonzero(self.large)[0]]
+        picked = [values[~self.large[row]], values[self.large[row]]]
+        starts = [np.concatenate([[0], np.cumsum(lengths[at])]) for at in self.at]
+        self.small = postings(picked[0].astype(np.int64), starts[0])
+        self.wide = postings(whole(picked[1]), starts[1])
+        self._exact: list | None = None
+
+    def exact(self) -> list:
+        """The small candidates' postings in integers of any size, for a large query."""
+        if self._exact is None:
+            self._exact = [(at, w.astype(object)) for at, w in self.small]
+        return self._exact
+
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        fits = len(query) <= self.TERMS and bool((np.abs(query) <= self.FIT).all())
+        small, wide = self.at
+        part = accumulate(query.astype(np.int64), self.small, len(small)) if fits else accumulate(whole(query), self.exact(), len(small))
+        if not len(wide):
+            return part
+        out = np.empty(self.n, object)
+        out[small], out[wide] = part, accumulate(whole(query), self.wide, len(wide))
+        return out
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores, ties to the smaller id, by partition selection."""
     if len(scores) > k:
@@ -74,6 +120,8 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         at = np.nonzero(scores >= least)[0]
     else:
         at = np.arange(len(scores))
+    if scores.dtype == object:  # lexsort takes no objects
+        return np.array(sorted(at.tolist(), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
@@ -83,7 +131,8 @@ def top_k(vectors: DataFrame, k: int = 10, query_filter=None, id_col: str = "vec
     ``query_filter`` (a condition on ``id``) names the queries; the candidates are all rows with
     another id. Repeated rows are candidates each; a repeated query row with the same vector is one
     query, and one id with several vectors gives a ranking for each. Vectors of unlike lengths are
-    compared over the terms that both have. An empty table gives no rows. Only ``id_col`` and
+    compared over the terms that both have. Scores are exact whatever the size of the components; a
+    kept score that fits no long raises an error. An empty table gives no rows. Only ``id_col`` and
     ``vec_col`` are read, so other columns may have any names.
     """
     rows = usable(vectors, id_col, vec_col, scale)
@@ -91,7 +140,7 @@ def top_k(vectors: DataFrame, k: int = 10, query_filter=None, id_col: str = "vec
     n = vectors.count()
     c_blocks = max(1, -(-n // block))
     # a third of all rows may be queries or not: blocks follow the count of either side
-    q_blocks = max(1, -(-queries.count() // block))
+    q_blocks = max(1, -(-queries.count() // (WIDER * block)))
     spread = lambda blocks, salt: F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(blocks)).cast("int")
     # repeated ids spread over the blocks, as the hash also takes the row's place in its partition
     cand = rows.withColumn("cb", F.pmod(F.xxhash64(F.col("id"), F.monotonically_increasing_id()), F.lit(c_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
@@ -100,14 +149,17 @@ def top_k(vectors: DataFrame, k: int = 10, query_filter=None, id_col: str = "vec
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left["id"].to_numpy()
-        lists = postings(*_rows(left["v"]))
+        block = Block(*_rows(left["v"]))
         q_ids, q_keys, (q_values, q_at) = right["id"].to_numpy(), right["query_key"].to_numpy(), _rows(right["v"])
         found: list[list[np.ndarray]] = [[], [], [], []]
         for i, q in enumerate(q_ids):
-            scores = accumulate(q_values[q_at[i] : q_at[i + 1]], lists, len(ids))
+            scores = block.scores(q_values[q_at[i] : q_at[i + 1]])
             others = np.nonzero(ids != q)[0] if (ids == q).any() else slice(None)
             at = best(scores[others], ids[others], k)
-            for c, part in zip(found, (np.full(len(at), q), np.full(len(at), q_keys[i]), ids[others][at], scores[others][at]), strict=True):
+            kept = scores[others][at]
+            if kept.dtype == object and any(not -(1 << 63) <= x < 1 << 63 for x in kept):
+                raise OverflowError(f"a score of query {q} fits no long")
+            for c, part in zip(found, (np.full(len(at), q), np.full(len(at), q_keys[i]), ids[others][at], kept.astype(np.int64)), strict=True):
                 c.append(part)
         return pa.table([pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in found], schema=schema)
 
