@@ -23,8 +23,6 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.6
-#: Tokens of more than this share of the labelled URLs tell nothing and are left out of the mining.
-STOP_SHARE = 0.5
 #: Rules are broadcast up to this many (a rule is some 200 bytes); more are joined by their token.
 BROADCAST_RULES = 20_000
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -66,24 +64,24 @@ def tokens(url) -> F.Column:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(anchor, items, verdict, confidence, support) from (url, verdict); no labels give no rules.
 
-    The anchor is the rule's rarest token among the labelled URLs.
+    The anchor is the rule's rarest token among the labelled URLs. Only support and confidence bound
+    the rules: k tokens that occur together often enough give up to 2**k of them.
     """
     spark = labelled.sparkSession
-    rows = materialize(labelled.where("url IS NOT NULL AND verdict IS NOT NULL").select(tokens(F.col("url")).alias("items"), F.concat(F.lit("="), "verdict").alias("label")), "url-labelled")
+    rows = materialize(labelled.where("url IS NOT NULL AND verdict IS NOT NULL").select(tokens(F.col("url")).alias("items"), F.concat(F.lit("="), "verdict").alias("label")).withColumn("id", F.monotonically_increasing_id()), "url-labelled")
     n = rows.count()
     schema = "anchor string, items array<string>, verdict string, confidence double, support double"
     if not n:
         return spark.createDataFrame([], schema)
     counts = materialize(rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")), "url-counts")
-    some = counts.where((F.col("n") >= min_support * n) & (F.col("n") <= STOP_SHARE * n))
-    keyed = rows.withColumn("id", F.monotonically_increasing_id())
+    some = counts.where(F.col("n") >= min_support * n)
     # at most 1 / min_support tokens per place in a url are frequent, so this side is small whatever the input
-    kept = keyed.select("id", F.explode("items").alias("item")).join(some.select("item"), "item", "left_semi").groupBy("id").agg(F.collect_list("item").alias("items"))
-    basket = materialize(keyed.select("id", "label").join(kept, "id").select(F.concat("items", F.array("label")).alias("items")), "url-baskets")
+    kept = rows.select("id", F.explode("items").alias("item")).join(some.select("item"), "item", "left_semi").groupBy("id").agg(F.collect_list("item").alias("items"))
+    basket = materialize(rows.select("id", "label").join(kept, "id").select(F.concat("items", F.array("label")).alias("items")), "url-baskets")
     if basket.isEmpty():
         return spark.createDataFrame([], schema)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(basket)
-    found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("="))).select(F.monotonically_increasing_id().alias("r"), F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 2, 100).alias("verdict"), "confidence", "support")
+    found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("="))).select(F.monotonically_increasing_id().alias("r"), F.array_sort("antecedent").alias("items"), F.expr("substring(consequent[0], 2)").alias("verdict"), "confidence", "support")
     found = materialize(found.where(~F.exists("items", lambda x: F.startswith(x, F.lit("=")))), "url-found")
     anchors = found.select("r", F.explode("items").alias("item")).join(counts, "item").groupBy("r").agg(F.min_by("item", F.struct("n", "item")).alias("anchor"))
     out = materialize(found.join(anchors, "r").select("anchor", "items", "verdict", "confidence", "support"), "url-rules")
@@ -91,12 +89,24 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return out
 
 
+def undominated(rules: DataFrame) -> DataFrame:
+    """The rules that can be the best of some URL. A rule is left out if it has a token more than
+    another that ranks before it by confidence, then support: wherever it fits, so does that one."""
+    key = lambda c: F.array_join(F.array_sort(c), " ")
+    own = rules.withColumn("own", key("items"))
+    shorter = own.select("own", "confidence", "support", "items", F.explode("items").alias("item")).select("own", "confidence", "support", key(F.expr("array_remove(items, item)")).alias("part"))
+    parts = rules.select(key("items").alias("part"), F.col("confidence").alias("c"), F.col("support").alias("s"))
+    better = (F.col("c") > F.col("confidence")) | ((F.col("c") == F.col("confidence")) & (F.col("s") > F.col("support")))
+    worse = shorter.join(parts, "part").where(better).select("own", "confidence", "support").distinct()
+    return own.join(worse, ["own", "confidence", "support"], "left_anti").select(*rules.columns)
+
+
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, verdict, items, confidence): the best rule of each of the distinct ``urls`` that has one.
 
     Best is the highest confidence, then support, then the most tokens, then the least by order.
     """
-    posted = rules.select("anchor", "items", "verdict", "confidence", "support")
+    posted = materialize(undominated(rules), "url-posted").select("anchor", "items", "verdict", "confidence", "support")
     posted = F.broadcast(posted) if posted.count() <= BROADCAST_RULES else posted
     own = urls.select("url", tokens(F.col("url")).alias("own"))
     met = own.select("url", "own", F.explode("own").alias("anchor")).join(posted, "anchor")
@@ -156,7 +166,7 @@ l AS (
     SELECT t.own, CASE WHEN quality = 0 OR toxic = 1 THEN 'block' WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 'allow' END AS label
     FROM pages p JOIN labels ON p.page_id = labels.doc_id JOIN t ON t.url = p.url) WHERE label IS NOT NULL),
 c AS (SELECT item, count(*) AS n FROM (SELECT unnest(own) AS item FROM l) GROUP BY item),
-k AS (SELECT item FROM c WHERE n >= 0.005 * (SELECT count(*) FROM l) AND n <= 0.5 * (SELECT count(*) FROM l)),
+k AS (SELECT item FROM c WHERE n >= 0.005 * (SELECT count(*) FROM l)),
 b AS (SELECT r, label, list(item ORDER BY item) AS items FROM (SELECT r, label, unnest(own) AS item FROM l) WHERE item IN (SELECT item FROM k) GROUP BY r, label),
 s AS (SELECT label, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items FROM (SELECT label, items, unnest(range(1, 1 << len(items))) AS m FROM b)),
 f AS (SELECT items, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY items) AS every FROM s GROUP BY items, label),
