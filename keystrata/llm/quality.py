@@ -40,12 +40,12 @@ class Features:
         return crc32(name.encode("utf-8", "surrogatepass")) * 0x9E3779B1 % (1 << 32) % self.size
 
     def word(self, w: str) -> tuple[int, int]:
-        shape = w[:64]
+        shape = w
         for find, put in _shape:
             shape = find.sub(put, shape)
         if len(self.memo) >= _MEMO_WORDS:
             self.memo.clear()
-        out = self.memo[w] = self.hashed("w:" + w.lower()), self.hashed("s:" + shape[:12])
+        out = self.memo[w] = self.hashed("w:" + w.lower()), self.hashed("s:" + shape)
         return out
 
     def __call__(self, text: str | None, metadata: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metada
     """Fit on at most ``bound`` labelled documents outside fold 0, features made on the executors.
 
     Labels other than 0 and 1 and null ids are left out; a document with several labels takes their
-    mean, an id with several texts the first of them by order.
+    mean, an id with several texts the first of them by order. Empty tables, or no label in common
+    with a document, give a model that scores 0.5 everywhere. Other columns may have any names but
+    those read. What comes to the driver is ``bound`` documents' features: a feature per distinct word.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.avg(label_col).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # bound * 16 bytes: may be broadcast
@@ -150,7 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metada
 
 
 def score_documents(docs: DataFrame, model: FactorisationMachine, metadata: tuple[str, ...] = ("n_chars",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): the probability of label 1 for every whole text, null and empty ones too."""
+    """(id, score): the probability of label 1 for every whole text, null and empty ones too.
+
+    A null or empty text is scored by its statistics and metadata. Null ids and repeated rows are
+    scored like any others, equal rows alike; an empty table gives no rows. Only the named columns
+    are read. A text is held whole, whatever its length.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 2**16 * (rank + 1) floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +171,8 @@ def score_documents(docs: DataFrame, model: FactorisationMachine, metadata: tupl
 
 
 def keep_good(docs: DataFrame, model: FactorisationMachine, threshold: float = THRESHOLD, metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns; see
+    :func:`score_documents` for null and empty texts, repeated rows and empty tables."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = [docs.columns.index(c) for c in ("text", *metadata)]
 
