@@ -1,8 +1,8 @@
 """Token counts by a tokenizer file; huge documents by overlapping chunks that are spliced.
 
-Texts up to ``chunk`` characters are encoded word by word, each distinct word once: with white space
-dropped between words and no token spanning it, a text's tokens are its words' tokens. Longer texts
-go through the library in overlapping chunks with offsets. Two neighbouring encodings are spliced
+If the tokenizer's file says that it drops white space and no token spans it, a text's tokens are its
+words' tokens, and texts up to ``chunk`` characters are encoded word by word, each distinct word once.
+By any other file they are encoded as a whole. Longer texts go through the library in overlapping chunks with offsets. Two neighbouring encodings are spliced
 where a word starts after white space and both give the same ids at the same places for the word
 before and the word after; if they agree nowhere, the overlap widens, at last over the whole text.
 """
@@ -10,23 +10,49 @@ before and the word after; if they agree nowhere, the overlap widens, at last ov
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.common import find_words, table
-from keystrata.llm.rank_bpe import load_file
+from keystrata.llm.rank_bpe import WHITE_SPACE, load_file
 
 CHUNK, OVERLAP = 16_384, 512
 MEMO_WORDS = 1_000_000
 _starts = re.compile("(?<=[\x20\x09-\x0d])[^\x20\x09-\x0d]").finditer
 
 
+def drops_space(spec: dict) -> bool:
+    """Whether a tokenizer's file says that white space parts words and leaves no token, so that a
+    text's tokens are its words' tokens: the first pre-tokenizer removes all that its pattern does not
+    match, and that has no white space; what is before and behind neither adds blanks nor spans words."""
+
+    def steps(part: dict | None, name: str) -> list[dict]:
+        return [] if not part else [y for x in part[name] for y in steps(x, name)] if part["type"] == "Sequence" else [part]
+
+    before, split = steps(spec.get("normalizer"), "normalizers"), steps(spec.get("pre_tokenizer"), "pretokenizers")
+    plain = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+    blanks = lambda x: x["type"] == "Replace" and x["pattern"].get("Regex") == r"\s+" and x["content"] == " "
+    if not split or not all(x["type"] in plain or blanks(x) for x in before):
+        return False
+    first, rest = split[0], split[1:]
+    if first["type"] != "Split" or first["behavior"] != "Removed" or not first["invert"] or "Regex" not in first["pattern"]:
+        return False
+    try:
+        spans = any(regex.search(first["pattern"]["Regex"], c) for c in WHITE_SPACE)
+    except regex.error:
+        return False
+    tokens = spec.get("added_tokens") or []
+    return not spans and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in rest) and not any(t["lstrip"] or t["rstrip"] or regex.search(r"\s", t["content"]) for t in tokens)
+
+
 class ChunkedTokenizer:
     """Counts and ids of whole texts, whatever their length, as the library gives them."""
 
@@ -35,6 +61,7 @@ class ChunkedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
+        self.by_words = drops_space(json.loads(data))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunk, self.overlap = chunk, overlap
@@ -89,6 +116,8 @@ class ChunkedTokenizer:
 
     def counts(self, texts: list[str]) -> list[int]:
         memo = self.memo
+        if not self.by_words:
+            return [sum(map(len, self.spliced(t))) for t in texts]
         words = [find_words(t) if len(t) <= self.chunk else None for t in texts]
         new = list({w for ws in words if ws for w in ws if w not in memo})
         if len(memo) + len(new) > MEMO_WORDS:
