@@ -46,8 +46,7 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     Texts of code points below 256 are split by the plain matcher, with every class of the pattern
     spelled out for those code points; it runs faster. All others take the full matcher.
     """
-    classes = {"~p{L}": None, "~p{N}": None, "~s": WHITE_SPACE, "~S": WHITE_SPACE}
-    classes = {k.replace("~", chr(92)): v for k, v in classes.items()}
+    classes = {r"\p{L}": None, r"\p{N}": None, r"\s": WHITE_SPACE, r"\S": WHITE_SPACE}
 
     def spelled(low: bool) -> str:
         out, inside = "", False
@@ -68,13 +67,16 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return split
 
 
-above_latin = re.compile("[^~x00-~xff]".replace("~", chr(92))).search
+above_latin = re.compile(r"[^\x00-\xff]").search
 
 
 class RankBPE:
     """Encoder and decoder for one rank file and one splitting pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        missing = [b for b in range(256) if bytes([b]) not in ranks]
+        if missing:
+            raise ValueError(f"the ranks lack {len(missing)} of the 256 single bytes, {missing[0]} first: texts with them have no ids")
         self.ranks = ranks
         self.n_ranks = max(ranks.values(), default=0) + 1
         self.token_bytes = [b""] * self.n_ranks
@@ -83,7 +85,7 @@ class RankBPE:
         self.id_of = list(range(self.n_ranks))  # one int object per id, for all remembered lists
         self.token_text = [str(r) for r in range(self.n_ranks)]
         self.split = splitter(pattern)
-        self.byte_id = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.byte_id = [ranks[bytes([b])] for b in range(256)]
         self.byte_pair = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.pairs: dict[int, int] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -220,8 +222,9 @@ def code_texts(docs: DataFrame, rank_path: str, pattern: str, schema: str, deriv
 
     ``derive(codec, text, ids)`` returns the values of ``schema``'s columns after the id. A null
     text is an empty one and has no ids. Only the two named columns are read; repeated rows and
-    null ids are coded like any others. Texts stream through in Arrow batches, so no task holds
-    more than a batch.
+    null ids are coded like any others, and an empty table gives no rows. Texts stream through in
+    Arrow batches, so no task holds more than a batch; a text is held whole with its ids, whatever
+    its length. Ranks without all 256 single bytes are an error.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_file(rank_path))
