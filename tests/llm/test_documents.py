@@ -252,6 +252,25 @@ def test_counts_equal_the_library(spark, docs):
     assert token_counts.token_counts(rows.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_tokenizers_that_keep_blanks(spark):
+    import json
+
+    from tokenizers import Tokenizer
+
+    specs = {}
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        with open(P.path(name), "rb") as f:
+            specs[name] = json.load(f)
+    assert token_counts.drops_space(specs["word_bpe_49k.json"]) and not token_counts.drops_space(specs["byte_bpe_50k.json"])
+    word = specs["word_bpe_49k.json"]
+    assert not token_counts.drops_space(word | {"normalizer": {"type": "Prepend", "prepend": "_"}}) and not token_counts.drops_space(word | {"pre_tokenizer": None})
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = False
+    texts = [(i, x) for i, x in enumerate(["", "  two  blanks \n\n and  lines ", "a b" * 400, " x" * 900, "word " * 700, "\u00e9\u4e2d " * 300])]
+    got = {r.id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(texts, "doc_id long, text string"), P.path("byte_bpe_50k.json"), chunk=200, overlap=32).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in texts}
+
+
 def test_splices_of_random_texts():
     import random
 
@@ -526,16 +545,67 @@ def test_likeness():
     assert 0.3 < syncmers.likeness(f(a), f(half)) < 0.7
 
 
-def test_texts_without_syncmers_are_told_apart():
+def brute_anchors(text, k, s):
+    """{k-mer: its first place} of closed syncmers, from strings alone but for the order of s-mers."""
+    power = 0x9E3779B97F4A7C15
+    mixed = lambda x: int(syncmers._mix(np.array([sum((ord(c) + 1) * pow(power, len(x) - 1 - i, 1 << 64) for i, c in enumerate(x)) % (1 << 64)], np.uint64))[0])
+    kmers = [text[p : p + k] for p in range(len(text) - k + 1)]
+    least = lambda x: min(mixed(x[i : i + s]) for i in range(k - s + 1))
+    own = [p for p, x in enumerate(kmers) if least(x) in (mixed(x[:s]), mixed(x[-s:]))]
+    own = own or [min(range(len(kmers)), key=lambda p: mixed(kmers[p]))]
+    out = {}
+    for p in own:
+        out.setdefault(kmers[p], p)
+    return out
+
+
+def brute_likeness(a, b, k, s):
+    """Of texts with fewer anchors than a fingerprint keeps: common ones in one order, of all."""
+    x, y = brute_anchors(a, k, s), brute_anchors(b, k, s)
+    pairs = sorted((x[w], y[w]) for w in x if w in y)
+    best = [0] * (len(pairs) + 1)
+    for i in range(len(pairs)):
+        best[i] = 1 + max((best[j] for j in range(i) if pairs[j][1] < pairs[i][1]), default=0)
+    return max(best, default=0) / len(x.keys() | y.keys())
+
+
+def test_likeness_of_short_texts_by_definition():
     import random
 
-    random.seed(3)
-    for n in range(1, 32):
-        texts = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for _ in range(60)]
-        prints = {t: syncmers.fingerprint(t) for t in texts}
-        assert all(prints.values()) and len(set(prints.values())) == len(prints)
-        a, b = list(prints.values())[:2]
-        assert syncmers.likeness(a, b) < 1 and syncmers.likeness(a, "") == 0
+    rng = random.Random(3)
+    made = lambda n: "".join(rng.choice("abcdefghij é\u4e2d") for _ in range(n))
+    for n in range(1, syncmers.SHORT):
+        for _ in range(12):
+            a, other = made(n), made(rng.randint(1, 40))
+            for b in (a[: n - n // 4] + other[: n // 4], other, a):
+                got = syncmers.likeness(*map(syncmers.fingerprint, (a, b)))
+                assert 0 <= got <= 1 and (got == 1) >= (a == b)
+                if min(len(a), len(b)) >= syncmers.SHORT_K:
+                    assert got == pytest.approx(brute_likeness(a, b, syncmers.SHORT_K, syncmers.SHORT_S))
+                elif a != b:
+                    assert got < 1
+            assert syncmers.fingerprint(a) and syncmers.likeness(syncmers.fingerprint(a), "") == 0
+    far = [made(n) for n in range(20, 31) for _ in range(40)]
+    assert max(syncmers.likeness(*map(syncmers.fingerprint, p)) for p in zip(far, far[1:])) < 0.5
+
+
+def test_likeness_of_longer_texts_by_definition():
+    import random
+
+    rng = random.Random(5)
+    made = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    for n in (64, 100, 150, 250):
+        a, other = made(n), made(n)
+        for b in (a[: n - n // 4] + other[: n // 4], "x" + a, other):
+            assert len(syncmers.anchors(b)[0]) <= syncmers.KEEP
+            assert syncmers.likeness(*map(syncmers.fingerprint, (a, b))) == pytest.approx(brute_likeness(a, b, syncmers.K, syncmers.S))
+
+
+def test_next_beside_clashing_columns(spark):
+    rows = [(i, f"text {i} " * 20, 1, 2, "a", "t", "b") for i in (3, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int, ahead int, at string, tie string, id string")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    assert sorted(r.doc_id for r in syncmers.with_next(df, syncmers.edited_fingerprints, schema).collect()) == [1, 2, 3]
 
 
 def test_syncmers_by_definition():
