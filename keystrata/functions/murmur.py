@@ -32,11 +32,10 @@ def murmur3_128(keys: list[bytes], seed: int = HASH_SEED) -> tuple[np.ndarray, n
     All keys lie zero-padded in one matrix, so each step is one vector operation over all keys;
     a key takes part in a step only while it has that block.
     """
-    n = np.array([len(k) for k in keys], np.int64)
+    n = np.fromiter(map(len, keys), np.int64, len(keys))
     width = int((n.max(initial=0) // 16 + 1) * 16)
     flat = np.zeros((len(keys), width), np.uint8)
-    for row, k in zip(flat, keys, strict=True):
-        row[: len(k)] = np.frombuffer(k, np.uint8)
+    flat[np.arange(width) < n[:, None]] = np.frombuffer(b"".join(keys), np.uint8)
     words = flat.view("<u8").astype(_U)
     h1, h2 = np.full(len(keys), seed, _U), np.full(len(keys), seed, _U)
     with np.errstate(over="ignore"):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keystrata.functions.codec import absolute_expiry, type_code
+from keystrata.plans.shared import shared_folder
 from keystrata.schema import CHANGELOG, DELETE, PUT
 
 
@@ -34,12 +35,15 @@ def assign_sequence(df: DataFrame, order: list[Column], last: int = 0) -> DataFr
     """``seq_num`` = last + 1, last + 2, ... in the order given, without a single-task sort.
 
     Rows are range-partitioned and sorted; partition sizes, one row each, give every partition's
-    first number.
+    first number. The dealt rows are written to the shared folder: numbers that were handed out
+    stay the same if an executor is lost and its ranges would be sampled anew.
     """
     # the last field of the order breaks ties, so two evaluations deal the rows alike
     dealt = df.withColumn("_order", F.struct(*order)).repartitionByRange("_order").sortWithinPartitions("_order")
     dealt = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    dealt = dealt.persist()
+    path = f"{shared_folder(df.sparkSession)}/sequence"
+    dealt.write.parquet(path)
+    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).select("_part", "_before")
     return dealt.join(before, "_part").withColumn("seq_num", F.lit(last + 1) + F.col("_before") + F.col("_at")).drop("_order", "_part", "_at", "_before")

@@ -36,11 +36,10 @@ def merge(segments: DataFrame, is_final: bool, as_of_ms: int) -> DataFrame:
 
 def compaction_stats(segments: DataFrame, is_final: bool, as_of_ms: int) -> DataFrame:
     """One row: rows in and out, superseded versions, and tombstones and expired versions dropped."""
-    newest = latest(segments)
     # one pass: versions per key are counted as the newest is found
-    counts = segments.groupBy("key").agg(F.count("*").alias("_n"))
+    newest = F.max_by(F.struct("type", "expires_at"), F.struct("seq_num", "segment_id")).alias("_v")
+    rows = segments.groupBy("key").agg(newest, F.count("*").alias("_n")).select("_v.*", "_n")
     dead, old = F.count_if(is_tombstone()), F.count_if(~is_tombstone() & is_expired(as_of_ms))
-    rows = newest.join(counts, "key")
     out = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_in"), F.count("*").alias("keys"), dead.alias("tombstones"), old.alias("expired"))
     drop = (lambda c: F.col(c)) if is_final else (lambda c: F.lit(0).cast("long"))
     return out.select("rows_in", (F.col("keys") - drop("tombstones") - drop("expired")).alias("rows_out"), (F.col("rows_in") - F.col("keys")).alias("superseded"), drop("tombstones").alias("tombstones_dropped"), drop("expired").alias("expired_dropped"))

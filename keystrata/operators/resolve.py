@@ -56,8 +56,10 @@ def multi_get(changelog: DataFrame, probes: DataFrame, as_of_ms: int) -> DataFra
 
 
 def missing(changelog: DataFrame, probes: DataFrame, as_of_ms: int) -> DataFrame:
-    """Probes without a live value."""
-    return probes.select("key").join(live(changelog, as_of_ms).select("key"), "key", "left_anti")
+    """Probes without a live value; the changelog is cut to their keys before the dedup."""
+    wanted = probes.select("key").distinct()
+    found = live(changelog.join(wanted, "key", "left_semi"), as_of_ms).select("key")
+    return probes.select("key").join(found, "key", "left_anti")
 
 
 def scan(changelog: DataFrame, from_key: str, to_key: str, as_of_ms: int, ordered: bool = True) -> DataFrame:

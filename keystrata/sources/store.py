@@ -1,31 +1,45 @@
 """A store: immutable key-sorted Parquet segments under numbered manifests in one folder.
 
-Every write makes new segment folders and then publishes manifest N+1 by creating its file, which
-fails if another writer was first. A reader takes one manifest and is not disturbed by later ones.
-Segments that a compaction replaced are removed by ``vacuum``, not while a reader may have them.
+Every write reads one manifest, makes new segment folders, and then publishes manifest N+1 by moving
+a finished file to its place, which fails if another writer was first; the write is then made again
+on the newer manifest. A reader takes one manifest and is not disturbed by later ones. Segments that
+a compaction replaced are removed by ``vacuum``, not while a reader may have them.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import random
+import threading
 import time
 import uuid
+from collections import defaultdict
+from collections.abc import Callable
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.functions.codec import entry_size
 from keystrata.operators import resolve
 from keystrata.operators.changelog import assign_sequence, conform
 from keystrata.operators.compaction import Strategy, merge, select_merge_groups
-from keystrata.operators.flush import segment_entries, segment_sizes
+from keystrata.operators.flush import segment_entries
 from keystrata.operators.metrics import Observed
 from keystrata.schema import CHANGELOG, COMPACTION_BUCKETS_MS, DELETE, PUT
-from keystrata.sources.wal import hadoop
+from keystrata.sources.wal import hadoop, read_wal, recovery_stats, wal_replay
 
 #: Rows that one file of a segment holds, about.
 ROWS_PER_FILE = 5_000_000
 
 
+#: Times that a write is made again after other writers, and the age at which an unlisted folder is no writer's.
+ATTEMPTS, ORPHAN_MS = 100, 86_400_000
+#: Writers of one process take turns; those of others are seen as the manifest is published.
+_turns: dict[str, threading.Lock] = defaultdict(threading.Lock)
+
+
 class ConcurrentWrite(RuntimeError):
     """Another writer published first; nothing of this write is visible."""
 
@@ -42,9 +56,12 @@ class Store:
 
     # Manifests
 
-    def version(self) -> int:
+    def _versions(self) -> list[int]:
         names = [f.getPath().getName() for f in self.fs.listStatus(self._path(f"{self.path}/manifests"))]
-        return max((int(n[:20]) for n in names if n.endswith(".json")), default=0)
+        return [int(n[:20]) for n in names if n.endswith(".json") and n[:20].isdigit()]
+
+    def version(self) -> int:
+        return max(self._versions(), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
         """{"segments": [{"id", "path", "bytes", "rows"}], "next_seq", "next_segment"} of a version."""
@@ -59,18 +76,34 @@ class Store:
         return json.loads(text) | {"version": version}
 
     def _publish(self, manifest: dict, base: int) -> None:
-        target = self._path(f"{self.path}/manifests/{base + 1:020d}.json")
+        """Manifest base + 1, whole or not at all; raises if it is there."""
+        name, target = f"{self.path}/manifests/.{uuid.uuid4().hex}.tmp", f"{self.path}/manifests/{base + 1:020d}.json"
         body = json.dumps({k: v for k, v in manifest.items() if k != "version"}).encode()
-        try:
-            stream = self.fs.create(target, False)
-        except Exception as e:  # the file is there
-            if self.fs.exists(target):
-                raise ConcurrentWrite(f"version {base + 1} is taken") from e
-            raise
+        stream = self.fs.create(self._path(name), True)
         try:
             stream.write(bytearray(body))
+            stream.hsync()
         finally:
             stream.close()
+        try:
+            self._move(name, target)
+        except Exception as e:
+            if self.fs.exists(self._path(target)):
+                raise ConcurrentWrite(f"version {base + 1} is taken") from e
+            raise
+        finally:
+            self.fs.delete(self._path(name), False)
+
+    def _move(self, name: str, target: str) -> None:
+        """Give a file another name, unless that is taken. A local file system would replace what is
+        there, so its file gets a second name by a link instead."""
+        if self.fs.getUri().getScheme() == "file":
+            os.link(*(unquote(urlparse(str(self.fs.makeQualified(self._path(x)))).path) for x in (name, target)))
+            return
+        jvm = self.spark.sparkContext._jvm
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(self._path(name), self._path(target), none)
 
     # Writing
 
@@ -80,42 +113,62 @@ class Store:
         rows = entries.withColumn("segment_id", F.lit(segment_id).cast("long")).repartitionByRange("key").sortWithinPartitions("key")
         rows.write.option("parquet.bloom.filter.enabled#key", "true").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.path}/{name}")
         written = self.spark.read.schema(CHANGELOG).parquet(f"{self.path}/{name}")
-        size = segment_sizes(written).head()
-        if size is None:
-            self.fs.delete(self._path(f"{self.path}/{name}"), True)
+        size = written.agg(F.count("*").alias("rows"), F.sum(entry_size()).cast("long").alias("bytes"), F.max("seq_num").alias("last")).head()
+        if not size["rows"]:
+            self._drop(name)
             return None
-        return {"id": segment_id, "path": name, "rows": size["entries"], "bytes": size["bytes"]}
+        return {"id": segment_id, "path": name, "rows": size["rows"], "bytes": size["bytes"], "last": size["last"]}
+
+    def _drop(self, name: str) -> None:
+        self.fs.delete(self._path(f"{self.path}/{name}"), True)
+
+    def _append(self, make: Callable[[dict], DataFrame]) -> int:
+        """Publish ``make(manifest)`` as one segment on that same manifest; if another writer was
+        first, make it again on the newer one. The segment's id."""
+        for attempt in range(ATTEMPTS):
+            with _turns[self.path]:
+                m = self.manifest()
+                rows = segment_entries(conform(make(m).withColumn("segment_id", F.lit(m["next_segment"]))))
+                segment = self._write_segment(rows, m["next_segment"])
+                if not segment:
+                    return m["next_segment"] - 1
+                m["next_seq"], m["next_segment"] = max(m["next_seq"], segment.pop("last") + 1), m["next_segment"] + 1
+                m["segments"].append(segment)
+                try:
+                    self._publish(m, m["version"])
+                    self.counters["memtable_flushes_total"] += 1
+                    return segment["id"]
+                except ConcurrentWrite:
+                    self._drop(segment["path"])
+                    if attempt == ATTEMPTS - 1:
+                        raise
+            time.sleep(random.uniform(0, 0.05 * min(attempt + 1, 20)))
+        raise AssertionError
 
     def append(self, changelog: DataFrame) -> int:
         """Publish rows that carry their own sequence numbers as one segment, one version per key; its id.
 
         A segment that holds nothing is not published.
         """
-        m = self.manifest()
-        rows = segment_entries(conform(changelog.withColumn("segment_id", F.lit(m["next_segment"]))))
-        last = rows.agg(F.max("seq_num")).head()[0]
-        segment = self._write_segment(rows, m["next_segment"])
-        if segment:
-            m["segments"].append(segment)
-            m["next_seq"], m["next_segment"] = max(m["next_seq"], last + 1), m["next_segment"] + 1
-            self._publish(m, m["version"])
-            self.counters["memtable_flushes_total"] += 1
-        return m["next_segment"] - 1
+        return self._append(lambda m: changelog)
 
     def write(self, operations: DataFrame, order: list, now_ms: int) -> int:
         """Apply operations (op 'put' or 'delete', key, value, ttl_seconds) in an order, as one segment."""
-        m = self.manifest()
-        rows = assign_sequence(operations, order, m["next_seq"] - 1)
         ttl = F.when((F.col("op") == "put") & (F.col("ttl_seconds") > 0), F.lit(now_ms) + F.col("ttl_seconds") * 1000).otherwise(0)
         kind = F.when(F.col("op") == "put", PUT).when(F.col("op") == "delete", DELETE)
-        return self.append(rows.select("key", F.when(F.col("op") == "put", F.col("value").cast("binary")).alias("value"), "seq_num", kind.alias("type"), ttl.alias("expires_at"), F.lit(0).alias("segment_id")))
+        value = F.when(F.col("op") == "put", F.col("value").cast("binary")).alias("value")
+
+        def numbered(m: dict) -> DataFrame:
+            rows = assign_sequence(operations, order, m["next_seq"] - 1)
+            return rows.select("key", value, "seq_num", kind.alias("type"), ttl.alias("expires_at"), F.lit(0).alias("segment_id"))
+
+        return self._append(numbered)
 
     def _one(self, key: str, value: bytes, kind: int, ttl_seconds: int) -> None:
         if not key:
             raise ValueError("empty key")
         expires = int(time.time() * 1000) + ttl_seconds * 1000 if ttl_seconds > 0 else 0
-        seq = self.manifest()["next_seq"]
-        self.append(self.spark.createDataFrame([(key, bytearray(value), seq, kind, expires, 0)], CHANGELOG))
+        self._append(lambda m: self.spark.createDataFrame([(key, bytearray(value), m["next_seq"], kind, expires, 0)], CHANGELOG))
 
     def put(self, key: str, value: bytes | None, ttl_seconds: int = 0) -> None:
         self._one(key, value or b"", PUT, ttl_seconds)
@@ -124,6 +177,16 @@ class Store:
         """A tombstone, whether the key exists or not."""
         self._one(key, b"", DELETE, 0)
 
+    def recover(self, logs: str) -> dict:
+        """Replay the log files of a folder as one segment: {"segments", "entries", "keys", "next_seq"} of
+        what was read. A key's newest record counts; a record older than what the store has stays hidden
+        behind it, so a second replay changes nothing that reads see."""
+        records = read_wal(self.spark, logs)
+        stats = recovery_stats(records).head().asDict()
+        if stats["entries"]:
+            self.append(wal_replay(records))
+        return stats
+
     # Reading
 
     def changelog(self, version: int | None = None) -> DataFrame:
@@ -133,7 +196,10 @@ class Store:
 
     def segments(self) -> DataFrame:
         """(segment_id, path, entries, bytes)."""
-        rows = [(s["id"], s["path"], s["rows"], s["bytes"]) for s in self.manifest()["segments"]]
+        return self._listed(self.manifest())
+
+    def _listed(self, manifest: dict) -> DataFrame:
+        rows = [(s["id"], s["path"], s["rows"], s["bytes"]) for s in manifest["segments"]]
         return self.spark.createDataFrame(rows, "segment_id long, path string, entries long, bytes long")
 
     def get(self, key: str, as_of_ms: int | None = None) -> bytes | None:
@@ -150,11 +216,12 @@ class Store:
 
     def compact(self, strategy: Strategy = select_merge_groups, as_of_ms: int | None = None) -> int:
         """Merge the groups that a strategy picks; the number of groups. A group of all segments drops
-        tombstones and expired entries, any other keeps them. All merges are published at once."""
+        tombstones and expired entries, any other keeps them. All merges are published at once; if
+        another writer publishes first, nothing is, and :class:`ConcurrentWrite` is raised."""
         began, m = time.perf_counter(), self.manifest()
         groups: dict[int, list[int]] = {}
         # a row per segment: as many as the manifest lists
-        for row in strategy(self.segments().select("segment_id", "bytes")).collect():
+        for row in strategy(self._listed(m).select("segment_id", "bytes")).collect():
             groups.setdefault(row["group_id"], []).append(row["segment_id"])
         if not groups:
             return 0
@@ -166,20 +233,34 @@ class Store:
             segment = self._write_segment(merged, m["next_segment"])
             gone |= set(ids)
             if segment:
+                del segment["last"]
                 out.append(segment)
                 m["next_segment"] += 1
         m["segments"] = [s for s in m["segments"] if s["id"] not in gone] + out
-        self._publish(m, m["version"])
+        try:
+            self._publish(m, m["version"])
+        except ConcurrentWrite:
+            for segment in out:
+                self._drop(segment["path"])
+            raise
         self.compactions.add((time.perf_counter() - began) * 1000)
         return len(groups)
 
-    def vacuum(self) -> int:
-        """Delete segment folders that the newest manifest does not list; how many."""
-        kept = {s["path"].rsplit("/", 1)[-1] for s in self.manifest()["segments"]}
+    def vacuum(self, orphan_ms: int = ORPHAN_MS) -> int:
+        """Delete segment folders that an older manifest lists and the newest does not; how many.
+
+        A folder that no manifest lists may belong to a writer at work: it goes once it is ``orphan_ms`` old.
+        """
+        newest = self.version()
+        kept = {s["path"] for s in self.manifest(newest)["segments"]}
+        known = {s["path"] for v in self._versions() if v < newest for s in self.manifest(v)["segments"]}
         root = self._path(f"{self.path}/segments")
-        gone = [f.getPath() for f in self.fs.listStatus(root) if f.getPath().getName() not in kept] if self.fs.exists(root) else []
-        for p in gone:
-            self.fs.delete(p, True)
+        folders = self.fs.listStatus(root) if self.fs.exists(root) else []
+        old = {f"segments/{f.getPath().getName()}" for f in folders if f.getModificationTime() <= time.time() * 1000 - orphan_ms}
+        there = {f"segments/{f.getPath().getName()}" for f in folders}
+        gone = (there & (known | old)) - kept
+        for name in gone:
+            self._drop(name)
         return len(gone)
 
 

@@ -29,9 +29,9 @@ def wal_files(changelog: DataFrame) -> DataFrame:
 
     A log is one buffer's worth of writes, so it has a bounded size by construction.
     """
-    logs = wal_encode(changelog).groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("seq_num", "record"))).alias("r"))
-    content = F.aggregate("r", F.lit(b""), lambda acc, x: F.concat(acc, x["record"]))
-    return logs.select(log_name(F.col("segment_id")).alias("name"), content.alias("content"))
+    # listagg joins once; an aggregate of concat would copy all bytes so far with every record
+    logs = wal_encode(changelog).groupBy("segment_id").agg(F.expr("listagg(record, X'') WITHIN GROUP (ORDER BY seq_num)").alias("content"))
+    return logs.select(log_name(F.col("segment_id")).alias("name"), "content")
 
 
 def decode_log(data: bytes) -> Iterator[tuple[str, bytes, int, int, int]]:
@@ -100,6 +100,33 @@ def write_wal(changelog: DataFrame, path: str) -> None:
         fs.rename(tmp, out)
 
 
+class LogWriter:
+    """An open log that records are appended to, each on disk before ``append`` returns."""
+
+    def __init__(self, spark: SparkSession, path: str, segment_id: int):
+        fs, Path = hadoop(spark, path)
+        self.name = f"{path}/{log_file_name(segment_id)}"
+        self._stream = fs.append(Path(self.name)) if fs.exists(Path(self.name)) else fs.create(Path(self.name), False)
+
+    def append(self, key: str, value: bytes, kind: int, seq: int, expires_at: int = 0) -> None:
+        self._stream.write(bytearray(encode_record(key, value, kind, seq, expires_at)))
+        self._stream.hsync()
+
+    def close(self) -> None:
+        self._stream.close()
+
+
+def log_file_name(segment_id: int) -> str:
+    return f"wal-{segment_id:020d}.log"
+
+
+def encode_record(key: str, value: bytes, kind: int, seq: int, expires_at: int) -> bytes:
+    """One record: lengths before key and value, type, sequence number, expiry, checksum of all that."""
+    k = key.encode()
+    body = struct.pack(">i", len(k)) + k + struct.pack(">i", len(value)) + value + struct.pack(">bqq", kind, seq, expires_at)
+    return body + struct.pack(">I", crc32(body))
+
+
 def hadoop(spark: SparkSession, path: str):
     """The file system of a path, and Hadoop's Path class."""
     Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
