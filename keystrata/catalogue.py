@@ -368,6 +368,21 @@ def kv_read_metrics(spark, sf_dir):
     return metrics.read_metrics(hits.join(there, ["segment_id", "key"], "left").withColumn("present", F.coalesce("present", F.lit(False))))
 
 
+@query(_HITS.replace("SELECT DISTINCT e.segment_id + 1 AS segment_id, e.key FROM entries e", "SELECT s.segment_id, k.key FROM (SELECT DISTINCT segment_id FROM entries) s, (SELECT DISTINCT key FROM kv) k") + """, r AS (SELECT h.*, e.key IS NOT NULL AS present FROM hits h LEFT JOIN entries e USING (segment_id, key)),
+f AS (SELECT key, max(segment_id) AS hit FROM r WHERE present GROUP BY key), w AS (SELECT r.* FROM r LEFT JOIN f USING (key) WHERE hit IS NULL OR segment_id >= hit)
+SELECT 'reads_total' AS metric, count(DISTINCT key) AS value FROM w UNION ALL SELECT 'bloom_skips_total', count(*) FILTER (NOT might_contain) FROM w UNION ALL SELECT 'bloom_false_positives_total', count(*) FILTER (might_contain AND NOT present) FROM w""")
+def kv_read_path(spark, sf_dir):
+    """Skips and false positives of reading every key, table by table from the newest to the first that has it."""
+    entries = flush.segment_entries(kv_events(spark, sf_dir)).select("segment_id", "key")
+    sizes = bloom.filter_sizes(entries)
+    # as many segments as tables are open: their list goes beside each key
+    tables = [r["segment_id"] for r in sizes.select("segment_id").collect()]
+    asked = entries.select("key").distinct().select("key", F.explode(F.array(*map(F.lit, tables))).alias("segment_id"))
+    hits = bloom.might_contain(bloom.bloom_words(entries, sizes), sizes, asked)
+    there = entries.withColumn("present", F.lit(True))
+    return metrics.read_path(hits.join(there, ["segment_id", "key"], "left").withColumn("present", F.coalesce("present", F.lit(False))))
+
+
 _BUCKETS = ", ".join(f"({b}::DOUBLE)" for b in LATENCY_BUCKETS_MS)
 
 

@@ -24,6 +24,14 @@ def read_metrics(lookups: DataFrame) -> DataFrame:
     return one.select(F.expr("stack(3, 'reads_total', reads_total, 'bloom_skips_total', bloom_skips_total, 'bloom_false_positives_total', bloom_false_positives_total) AS (metric, value)"))
 
 
+def read_path(lookups: DataFrame) -> DataFrame:
+    """(metric, value) of lookups (key, segment_id, might_contain, present) of keys in all tables, as
+    reads go: from the newest table on, up to the first that has the key."""
+    hit = lookups.where("might_contain AND present").groupBy("key").agg(F.max("segment_id").alias("_hit"))
+    asked = lookups.join(hit, "key", "left").where(F.col("_hit").isNull() | (F.col("segment_id") >= F.col("_hit")))
+    return read_metrics(asked.select("key", "segment_id", "might_contain", "present"))
+
+
 def histogram(df: DataFrame, value_col: str, buckets: tuple[float, ...] = LATENCY_BUCKETS_MS) -> DataFrame:
     """(le, count, sum): cumulative buckets; le is null for the bucket of all. Nulls are not observed."""
     v = F.col(value_col)
