@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.codec import accounted_size, entry_size
 from keystrata.operators.resolve import latest
+from keystrata.plans.shared import ranged
 from keystrata.schema import FLUSH_BYTES
 
 
@@ -58,9 +59,15 @@ def segment_sizes(entries: DataFrame) -> DataFrame:
 
 
 def running_size(changelog: DataFrame) -> DataFrame:
-    """Net size of each segment's buffer after every write: an entry counts less the one it replaces."""
+    """Net size of each segment's buffer after every write: an entry counts less the one it replaces.
+    Sums go by ranges of sequence numbers, and a row per range has what is before it."""
     from pyspark.sql.window import Window
 
     before = F.lag(accounted_size()).over(Window.partitionBy("segment_id", "key").orderBy("seq_num"))
-    rows = changelog.withColumn("_delta", accounted_size() - F.coalesce(before, F.lit(0)))
-    return rows.withColumn("net_bytes", F.sum("_delta").over(Window.partitionBy("segment_id").orderBy("seq_num")).cast("long")).drop("_delta")
+    rows = ranged(changelog.withColumn("_delta", (accounted_size() - F.coalesce(before, F.lit(0))).cast("long")), "segment_id", "seq_num")
+    parts = Window.partitionBy("segment_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("segment_id", "_part").agg(F.sum("_delta").alias("_sum"))
+    sums = sums.select("segment_id", "_part", F.coalesce(F.sum("_sum").over(parts), F.lit(0)).alias("_before"))
+    own = F.sum("_delta").over(Window.partitionBy("segment_id", "_part").orderBy("seq_num"))
+    rows = rows.withColumn("_own", own).join(sums, ["segment_id", "_part"])
+    return rows.withColumn("net_bytes", (F.col("_own") + F.col("_before")).cast("long")).drop("_delta", "_part", "_own", "_before")

@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keystrata.functions.codec import entry_size
+from keystrata.plans.shared import ranged
 from keystrata.schema import INDEX_INTERVAL
 
 
 def sparse_index(entries: DataFrame, interval: int = INDEX_INTERVAL) -> DataFrame:
-    """(segment_id, key, offset) of every ``interval``-th entry, with its byte offset in the segment's file."""
-    run = Window.partitionBy("segment_id").orderBy("key")
-    rows = entries.select("segment_id", "key", (F.row_number().over(run) - 1).alias("_i"), (F.sum(entry_size()).over(run) - entry_size()).cast("long").alias("offset"))
-    return rows.where(F.col("_i") % interval == 0).select("segment_id", "key", "offset")
+    """(segment_id, key, offset) of every ``interval``-th entry, with its byte offset in the segment's file.
+
+    Entries are counted and summed by ranges of keys, and a row per range tells what is before it.
+    """
+    rows = ranged(entries.select("segment_id", "key", entry_size().cast("long").alias("_size")), "segment_id", "key")
+    whole = Window.partitionBy("segment_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("segment_id", "_part").agg(F.count("*").alias("_n"), F.sum("_size").alias("_bytes"))
+    before = sums.select("segment_id", "_part", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_rows_before"), F.coalesce(F.sum("_bytes").over(whole), F.lit(0)).alias("_bytes_before"))
+    run = Window.partitionBy("segment_id", "_part").orderBy("key")
+    rows = rows.withColumn("_i", F.row_number().over(run) - 1).withColumn("_at", F.sum("_size").over(run) - F.col("_size")).join(before, ["segment_id", "_part"])
+    return rows.where((F.col("_i") + F.col("_rows_before")) % interval == 0).select("segment_id", "key", (F.col("_at") + F.col("_bytes_before")).alias("offset"))
 
 
 def block_ranges(index: DataFrame, data_end: DataFrame | None = None) -> DataFrame:
@@ -31,19 +39,26 @@ def block_lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
     """(segment_id, key, start, end): the block that holds each probe (segment_id, key), if any does.
 
     Keys before the first indexed one belong to the first block; a segment without an index is one
-    block from 0. Index entries and probes are merged in one sorted pass per segment, so no probe
-    meets more than its own block.
+    block from 0. Index entries and probes are merged in one sorted pass per range of keys, so no
+    probe meets more than its own block; a row per range has the marks next to it.
     """
     marks = index.select("segment_id", "key", F.lit(0).alias("_kind"), F.col("offset").alias("_offset"))
     asked = probes.select("segment_id", "key", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_offset"))
-    back = Window.partitionBy("segment_id").orderBy("key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("segment_id").orderBy("key", "_kind").rowsBetween(1, Window.unboundedFollowing)
-    both = marks.unionByName(asked)
+    both = ranged(marks.unionByName(asked), "segment_id", "key")
+    # offsets ascend with the keys, so the least and greatest of a range are its first and last mark
+    ends = both.groupBy("segment_id", "_part").agg(F.min("_offset").alias("_low"), F.max("_offset").alias("_high"))
+    parts = Window.partitionBy("segment_id").orderBy("_part")
+    earlier = F.max("_high").over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("_before")
+    later = F.min("_low").over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("_behind")
+    ends = ends.select("segment_id", "_part", earlier, later)
+    order = Window.partitionBy("segment_id", "_part").orderBy("key", "_kind")
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
     rows = both.withColumn("_start", F.last("_offset", ignorenulls=True).over(back)).withColumn("_end", F.first("_offset", ignorenulls=True).over(ahead)).where("_kind = 1")
+    rows = rows.join(ends, ["segment_id", "_part"]).withColumn("_start", F.coalesce("_start", "_before")).withColumn("_end", F.coalesce("_end", "_behind"))
     # before the first indexed key the next mark is the first block's own start: its end is the mark after
-    order = Window.partitionBy("segment_id").orderBy("key")
-    firsts = index.withColumn("_i", F.row_number().over(order)).where("_i <= 2").groupBy("segment_id").agg(F.min_by("offset", "_i").alias("_first"), F.max(F.when(F.col("_i") == 2, F.col("offset"))).alias("_second"))
-    rows = rows.join(firsts, "segment_id", "left")
+    firsts = index.groupBy("segment_id").agg(F.min("offset").alias("_first"))
+    seconds = index.join(firsts, "segment_id").where(F.col("offset") > F.col("_first")).groupBy("segment_id").agg(F.min("offset").alias("_second"))
+    rows = rows.join(firsts, "segment_id", "left").join(seconds, "segment_id", "left")
     early = F.col("_start").isNull()
     return rows.select("segment_id", "key", F.coalesce("_start", "_first", F.lit(0)).alias("start"), F.when(early, F.col("_second")).otherwise(F.col("_end")).alias("end"))
 
