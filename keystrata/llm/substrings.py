@@ -113,10 +113,15 @@ def _digest(words: list[str]) -> str:
     return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def survivors(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key occurs under two different ids. Counts are combined before the shuffle."""
+def survivors(rows: DataFrame, keys: list[str], tag: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key occurs under two different ids, and the table of those keys, to be released.
+
+    Counts are combined before the shuffle; the keys are written, so that a hot one of the join can
+    be split.
+    """
     twice = rows.groupBy(*keys).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select(*keys)
-    return rows.join(twice, keys, "left_semi")
+    twice = materialize(twice, tag)
+    return rows.join(twice, keys, "left_semi"), twice
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,9 +161,11 @@ def removed_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     alone = rows.where(F.col("ord") == F.col("least")).select("ord", "th").distinct()
     level = scanned.where(F.size("pos") > 0).select("ord", "th", "pos", "q", "h").join(alone, ["ord", "th"], "left_semi")
     level = level.select("ord", "th", F.explode(F.arrays_zip("pos", "q", "h")).alias("x")).select("ord", "th", "x.*")
-    level = materialize(survivors(level, ["q"]).select("ord", "th", "pos", "h"), "sub-quarter")
-    found = materialize(survivors(level, ["h"]).groupBy("ord", "th").agg(F.collect_set("pos").alias("pos")), "sub-half")
-    release(scanned, level)
+    alive, quarters = survivors(level, ["q"], "sub-quarters")
+    level = materialize(alive.select("ord", "th", "pos", "h"), "sub-quarter")
+    alive, halves = survivors(level, ["h"], "sub-halves")
+    found = materialize(alive.groupBy("ord", "th").agg(F.collect_set("pos").alias("pos")), "sub-half")
+    release(scanned, level, quarters, halves)
     result = rows.select("doc_id", "n_words", "sha", "ord", "th", "least")
     if found.isEmpty():
         gone = spark.createDataFrame([], "ord long, th long, n_removed long, kept string")
