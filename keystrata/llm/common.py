@@ -21,16 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``. Where it is unset, one machine gets a folder of its own
     until the program ends; on a cluster that is an error, since executors would not share it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        app = spark.sparkContext.applicationId
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="keystrata-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="keystrata-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        path = _own[app]
     return path.rstrip("/")
 
 

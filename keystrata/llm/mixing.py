@@ -33,7 +33,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], max_repeat: int) -> Data
 
     Weights repeat over the sources by code point, null last. A target stops at ``max_repeat``
     times its source's size; the excess goes to the others by weight. In the order of cap/weight
-    the capped sources come first, so one pass of running sums finds them all.
+    the capped sources come first, so one pass of running sums finds them all. Sources are sorted
+    in one task, a row of some 40 bytes each: meant for up to some millions of them.
     """
     everything, by_name = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("long")
