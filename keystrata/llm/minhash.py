@@ -15,18 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from keystrata.llm.common import find_words, materialize, release, table
+from keystrata.llm.common import find_words, forget_shuffles, materialize, release, table
 from keystrata.llm.substrings import WordHashes, mix
 
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS = 1.2e-7.
 BANDS, ROWS, BITS = 40, 5, 4
 #: Estimates have a standard deviation of 0.03 at 0.8; a pair this far below is no candidate.
 MARGIN = 0.2
-#: Rows with a null id are vertices from here on, told apart by their sets.
-NO_ID = 1 << 62
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -87,11 +84,6 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - differ / (BANDS * ROWS) - chance) / (1 - chance)
 
 
-def vertex(doc_id: int | None, sets: np.ndarray) -> int:
-    """The vertex of a row: its id; without one, a number from its set, behind all ids."""
-    return doc_id if doc_id is not None else NO_ID + (_fingerprint(sets)[0] & (NO_ID - 1))
-
-
 def _fingerprint(sets: np.ndarray) -> tuple[int, int]:
     d = hashlib.blake2b(sets.tobytes(), digest_size=16).digest()
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
@@ -177,50 +169,59 @@ def blocks(count) -> F.Column:
     return F.ceil(count / F.lit(float(BLOCK))).cast("int")
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, vertex, n_shingles, component): each row's group of linked documents.
+def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", same_id: bool = True) -> DataFrame:
+    """(doc_id, th, n_shingles, row, component, component_id): each row's group of linked documents.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; percent is
-    at least 80, for which the bands are laid out. Texts without words are linked with nothing.
-    Rows that share an id are one vertex. A row without an id is a vertex of its own by its set,
-    and counts as behind all ids. Only the two named columns are read; an empty table gives no rows.
+    at least 80, for which the bands are laid out. Texts without words, null ones too, are linked
+    with nothing. Rows that share an id are linked too, unless ``same_id`` is false. ``row`` numbers
+    the rows, ``component`` is the group's least number and ``component_id`` its least id, null if
+    all ids in it are null; ``th`` is a hash of the text. Ids may be any whole numbers. Only the two
+    named columns are read, so others may have any names; an empty table gives no rows.
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be in 80..100")
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, rows, bands = batch.slice(at, 500), [], []
-                for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for text in part.column(2).to_pylist():
                     s = shingles(text, width, memo)
                     signature = minima(s)
-                    rows.append((vertex(doc_id, s), len(s), *_fingerprint(s), pack(signature)))
+                    rows.append((len(s), *_fingerprint(s), pack(signature)))
                     bands.append(band_keys(signature) if len(s) else np.empty(0, np.uint64))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), _long_lists(bands)], names=["doc_id", "v", "n", "k1", "k2", "sig", "bands"])
-
-    scanned = materialize(named.mapInArrow(scan, "doc_id long, v long, n long, k1 long, k2 long, sig binary, bands array<long>"), "mh-scan")
-    rows = scanned.select("doc_id", "v", "n", "k1", "k2")
-    least = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("v").alias("rep"))
-    # equal sets are one class; a vertex with several sets ties its classes together
-    members = materialize(rows.join(least, ["k1", "k2"], "left").select("doc_id", "v", "n", F.coalesce("rep", "v").alias("rep")), "mh-members")
-    bands = scanned.join(least, ["k1", "k2"]).where("v = rep").select("v", F.explode("bands").alias("band"))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), _long_lists(bands)], names=["doc_id", "th", "n", "k1", "k2", "sig", "bands"])
+
+    # the number of a row is written with it, so it stays the same from here on
+    scanned = named.mapInArrow(scan, "doc_id long, th long, n long, k1 long, k2 long, sig binary, bands array<long>")
+    scanned = materialize(scanned.withColumn("v", F.monotonically_increasing_id()), "mh-scan")
+    rows = scanned.select("doc_id", "th", "v", "n", "k1", "k2")
+    # equal sets are one class, which its first row stands for
+    least = materialize(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("v").alias("rep")), "mh-classes")
+    members = materialize(rows.join(least, ["k1", "k2"], "left").select("doc_id", "th", "v", "n", F.coalesce("rep", "v").alias("rep")), "mh-members")
+    bands = scanned.join(least.select("rep"), F.col("v") == F.col("rep"), "left_semi").select("v", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("v").alias("pivot"), F.max("v").alias("last")).where("pivot < last").select("band", "pivot")
     buckets = materialize(bands.join(shared, "band").select("band", "pivot", "v"), "mh-buckets")
-    found = _links(named, scanned, buckets, width, percent)
-    ties = members.where("v != rep").select(F.col("v").alias("src"), F.col("rep").alias("dst"))
-    # copies of a class hang on its representative below; only vertices with several sets need ties
-    several = members.groupBy("v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select(F.col("v").alias("src"))
-    labels = components(found.unionByName(ties.join(several, "src", "left_semi")))
-    out = members.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
-    return out.select("doc_id", F.col("v").alias("vertex"), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component"))
-
-
-def _links(named: DataFrame, scanned: DataFrame, buckets: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between class representatives that connect all that are linked.
+    forget_shuffles(docs.sparkSession)
+    found, old = _links(named.select("doc_id", "text"), scanned, buckets, width, percent)
+    if same_id:
+        several = members.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("dst"), F.max("rep").alias("hi")).where("dst < hi").select("doc_id", "dst")
+        found = found.unionByName(members.join(several, "doc_id").select(F.col("rep").alias("src"), "dst"))
+    labels = components(found)
+    out = members.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("v").alias("row"), F.coalesce("label", "rep").alias("component"))
+    out = materialize(out, "mh-rows")
+    release(scanned, least, members, buckets, labels, *old)
+    forget_shuffles(docs.sparkSession)
+    ids = materialize(out.groupBy("component").agg(F.min("doc_id").alias("component_id")), "mh-ids")
+    return out.join(ids, "component").select("doc_id", "th", "n_shingles", "row", "component", "component_id")
+
+
+def _links(named: DataFrame, scanned: DataFrame, buckets: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between class representatives that connect all that are linked, and the tables to release.
 
     First every bucket's members are compared with its smallest. What stays unconnected inside a
     bucket is compared in full: its members go to the group of the bucket's largest component, and
@@ -231,28 +232,27 @@ def _links(named: DataFrame, scanned: DataFrame, buckets: DataFrame, width: int,
         memo = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [(i, s) for i, s in ((i, shingles(t, width, memo)) for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True)) if len(s)]
-                keys = [_fingerprint(s) for _, s in found]
-                own = pa.array([vertex(i, s) for i, s in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([own, *(pa.array([k[n] for k in keys], pa.int64()) for n in (0, 1)), _long_lists([s for _, s in found])], names=["v", "k1", "k2", "set"])
-
-    taking = buckets.select("v").distinct()
-    # text of the documents in buckets alone; rows without an id are few and found by their sets
-    texts = named.join(taking, named["doc_id"] == taking["v"], "left_semi").unionByName(named.where("doc_id IS NULL"))
-    full = texts.mapInArrow(sets, "v long, k1 long, k2 long, set array<long>")
-    signed = scanned.where("n > 0").select("v", "k1", "k2", "sig").join(taking, "v", "left_semi")
-    full = materialize(full.join(signed, ["v", "k1", "k2"]).dropDuplicates(["v", "k1", "k2"]).select("v", "set", "sig"), "mh-sets")
+                found = [s for s in (shingles(t, width, memo) for t in batch.slice(at, 500).column(0).to_pylist()) if len(s)]
+                keys = [_fingerprint(s) for s in found]
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[n] for k in keys], pa.int64()) for n in (0, 1)), _long_lists(found)], names=["k1", "k2", "set"])
+
+    taking = scanned.select("v", "doc_id", "k1", "k2", "sig").join(buckets.select("v").distinct(), "v", "left_semi")
+    taking = materialize(taking, "mh-taking")
+    # texts of the documents in buckets alone; rows without an id are few and found by their sets
+    texts = named.join(taking.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(named.where("doc_id IS NULL"))
+    full = texts.select("text").mapInArrow(sets, "k1 long, k2 long, set array<long>")
+    full = materialize(full.join(taking.select("v", "k1", "k2", "sig"), ["k1", "k2"]).dropDuplicates(["v"]).select("v", "set", "sig"), "mh-sets")
 
     pairs = buckets.where("pivot < v").select(F.col("pivot").alias("g"), "v").distinct()
     count = pairs.groupBy("g").agg(blocks(F.count("*")).alias("n"))
     index = count.select(F.col("g"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), F.col("g").alias("v"), F.col("g").alias("label"))
     queries = pairs.join(count, "g").select("g", F.lit(0).alias("i"), F.pmod(F.xxhash64("v"), F.col("n")).cast("int").alias("j"), "v", F.col("v").alias("label"))
     first = materialize(compare(index.join(full, "v"), queries.join(full, "v"), percent), "mh-links")
+    forget_shuffles(named.sparkSession)
 
-    labels = components(first)
-    larger = labels.groupBy("label").agg(F.count("*").alias("size"))
-    labels = labels.join(larger, "label").select("v", "label", "size")
+    cc = components(first)
+    larger = cc.groupBy("label").agg(F.count("*").alias("size"))
+    labels = cc.join(larger, "label").select("v", "label", "size")
     marked = buckets.join(labels, "v", "left").select("band", "v", F.coalesce("label", "v").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
     # a bucket of two has been compared already
     open_ones = marked.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min_by("label", F.struct(-F.col("size"), F.col("label"))).alias("g")).where("lo < hi AND n > 2").select("band", "g")
@@ -262,36 +262,35 @@ def _links(named: DataFrame, scanned: DataFrame, buckets: DataFrame, width: int,
     index = placed.select("g", F.pmod(F.xxhash64("v"), F.col("n")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), "v", "label")
     queries = placed.where("label != g").select("g", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), F.pmod(F.xxhash64("v", F.lit(1)), F.col("m")).cast("int").alias("j"), "v", "label")
     second = materialize(compare(index.join(full, "v"), queries.join(full, "v"), percent), "mh-links")
-    return first.unionByName(second)
+    release(taking, full, group, cc)
+    forget_shuffles(named.sparkSession)
+    return first.unionByName(second), [first, second]
 
 
 def one_per_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of every group of near copies: the one with the smallest id.
+    """``docs`` with one row of every group of near copies: the one with the smallest id, null ids last.
 
-    Of rows that share an id, the first by a hash of the text stays. Texts without words stay.
+    Texts without words stay, all of them. Of equal rows in a group one stays. Rows that share an id
+    are a group only if their texts are near copies.
     """
-    found = near_duplicates(docs, width, percent)
-    kept = found.where("vertex = component").select(F.col("vertex").alias("_kept")).distinct()
-    at = docs.columns.index("doc_id"), docs.columns.index("text")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for b in batches:
-            ids, texts = (b.column(i).to_pylist() for i in at)
-            own = [vertex(i, shingles(t, width, memo) if i is None else None) for i, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=[*b.schema.names, "_vertex"])
-
-    rows = docs.mapInArrow(mark, StructType([*docs.schema, StructField("_vertex", LongType())]))
-    rows = rows.join(kept, F.col("_vertex") == F.col("_kept"))
-    first = F.row_number().over(Window.partitionBy("_vertex").orderBy(F.xxhash64("text"), "text"))
-    return rows.withColumn("_n", first).where("_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = near_duplicates(docs, width, percent, same_id=False)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    leader = found.where("n_shingles > 0").groupBy("component").agg(first).select(F.col("first.row").alias("row"))
+    # (id, text) of the rows that stay: all without words, one of each group
+    stay = found.where("n_shingles > 0").join(leader, "row", "left_semi").select("doc_id", "th", F.lit(1).alias("most"))
+    stay = stay.unionByName(found.where("n_shingles = 0").select("doc_id", "th", F.lit(0).alias("most")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("hash"))
+    rows = rows.join(stay, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th")))
+    nth = F.row_number().over(Window.partitionBy("own", "hash").orderBy("most"))
+    rows = rows.withColumn("nth", nth).where("most = 0 OR nth = 1")
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near copies by two-word shingles at 0.8."""
     rows = near_duplicates(table(spark, sf_dir, "documents"))
-    component = F.when(F.col("component") < NO_ID, F.col("component"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce("doc_id", "vertex") == F.col("component")).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("row") == F.col("component")))
+    return rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 OP5_SQL = """

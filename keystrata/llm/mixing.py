@@ -119,11 +119,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
 
     A row's hash is compared with its source's threshold; rows are neither sorted nor joined to rows.
     """
-    _, plan = mix_plan(docs.select("doc_id", "text", "source"), weights, max_repeat, "doc_id", "text", "source")
-    plan = plan.select(F.col("s").alias("_mix_s"), F.struct("base", "threshold").alias("_mix"))
-    rows = docs.withColumn("_mix_h", row_hash(F.col("doc_id"), F.col("text"))).join(plan, F.col("source").eqNullSafe(F.col("_mix_s")))
-    copies = F.least(F.lit(max_repeat).cast("long"), F.col("_mix.base") + (F.col("_mix_h") <= F.col("_mix.threshold")).cast("long"))
-    return rows.where(copies > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    sized, plan = mix_plan(docs.select("doc_id", "text", "source"), weights, max_repeat, "doc_id", "text", "source")
+    release(sized)
+    # the row is one column, so its own names clash with none
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("own"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
+    rows = rows.join(plan, F.col("own").eqNullSafe(F.col("s"))).withColumn("copies", _copies(F.col("h"), max_repeat))
+    return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,18 +208,30 @@ def test_near_copies(spark, docs, kind):
         rows = docs
     else:
         rows = NEAR
-        got = [(r.doc_id, r.n_shingles, r.component if r.component < minhash.NO_ID else None) for r in minhash.near_duplicates(frame(spark, rows)).collect()]
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()]
     assert sorted(got, key=key) == sorted(brute_components(rows, 2), key=key)
 
 
 def test_one_of_each_group_stays(spark):
-    rows = frame(spark, NEAR)
+    # one id with unlike texts, rows without words, and clashing names
+    more = [(70, "alone " + " ".join(f"u{j}" for j in range(30)), "en", "a", 1), (70, "other " + " ".join(f"t{j}" for j in range(30)), "en", "a", 1), (None, "", "en", "a", 0), (None, "", "en", "a", 0)]
+    rows = frame(spark, NEAR + more).withColumns({"row": F.lit(1), "most": F.lit("m"), "th": F.lit(2), "own": F.lit(3)})
     kept = minhash.one_per_group(rows, width=5)
     assert kept.schema.fieldNames() == rows.schema.fieldNames()
-    ids = [r.doc_id for r in kept.collect()]
-    want = {(i, c) for i, _, c in brute_components(NEAR, 5) if i is not None and i == c}
-    assert sorted(i for i in ids if i is not None) == sorted(i for i, _ in want)
-    assert minhash.near_duplicates(rows.limit(0)).count() == 0
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=key)
+    # each row under an id of its own, in the order of ids, null ids last
+    every = sorted(((i, t) for i, t, *_ in NEAR + more), key=lambda r: (r[0] is None, r[0] or 0))
+    want = [every[i] for i, n, c in brute_components([(n, t) for n, (_, t) in enumerate(every)], 5) if i == c or not n]
+    assert got == sorted(want, key=key)
+    assert minhash.near_duplicates(rows.limit(0)).count() == 0 and minhash.one_per_group(rows.limit(0)).count() == 0
+
+
+def test_ids_of_any_size(spark):
+    text = " ".join(f"q{i}" for i in range(30))
+    rows = [((1 << 62) + 5, text), ((1 << 63) - 1, text + " more"), (-4, "other words"), (None, text), (None, "nobody else")]
+    got = sorted(((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=key)
+    big = (1 << 62) + 5
+    assert got == sorted([(big, big), ((1 << 63) - 1, big), (-4, -4), (None, big), (None, None)], key=key)
 
 
 def test_estimates_are_near_the_truth():
