@@ -239,9 +239,10 @@ def _links(named: DataFrame, scanned: DataFrame, buckets: DataFrame, width: int,
     taking = scanned.select("v", "doc_id", "k1", "k2", "sig").join(buckets.select("v").distinct(), "v", "left_semi")
     taking = materialize(taking, "mh-taking")
     # texts of the documents in buckets alone; rows without an id are few and found by their sets
-    texts = named.join(taking.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(named.where("doc_id IS NULL"))
+    texts = named.join(taking.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").unionByName(named.where("doc_id IS NULL"))
     full = texts.select("text").mapInArrow(sets, "k1 long, k2 long, set array<long>")
-    full = materialize(full.join(taking.select("v", "k1", "k2", "sig"), ["k1", "k2"]).dropDuplicates(["v"]).select("v", "set", "sig"), "mh-sets")
+    # a class has one row in taking, so the sets are where duplicates of them are dropped already
+    full = materialize(full.join(taking.select("v", "k1", "k2", "sig"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("v", "set", "sig"), "mh-sets")
 
     pairs = buckets.where("pivot < v").select(F.col("pivot").alias("g"), "v").distinct()
     count = pairs.groupBy("g").agg(blocks(F.count("*")).alias("n"))
