@@ -403,6 +403,23 @@ def test_fuzzy_lines_query(spark, docs):
     assert sorted(map(tuple, got.collect())) == sorted(want) and sum(r[2] for r in want) > 0
 
 
+@pytest.mark.parametrize("n_pairs", [1, 40])
+def test_all_of_a_key_is_compared(spark, n_pairs):
+    """Pairs of lines with one beginning and an edit in most other words, which leaves them few words in common."""
+    import random
+
+    rng = random.Random(n_pairs)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    same, n = ([word(7) for _ in range(6)], 7) if n_pairs == 1 else ([word(10) for _ in range(4)], 10)
+    rows = []
+    for i in range(n_pairs):
+        own = [word(n) for _ in range(8 if n_pairs == 1 else 5)]
+        rows += [(2 * i, " ".join(same + own)), (2 * i + 1, " ".join(same + [w[:3] + "#" + w[4:] for w in own]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.ord, r.th): set(r.gone) for r in fuzzy_lines.removed_lines(df).collect()}
+    assert got == dict(brute_lines(rows)) and len(got) == n_pairs
+
+
 def test_very_long_lines(spark):
     a, b = (" ".join(f"{x}{i * 7919 % 1000:03d}x" for i in range(4000)).translate(str.maketrans("0123456789", "abcdefghij")) for x in "kq")
     rows = [(1, a), (2, a[:9000] + "edit" + a[9000:]), (3, b), (4, a + "\n" + "z" * 30_000)]
