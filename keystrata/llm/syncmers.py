@@ -2,8 +2,8 @@
 
 A closed syncmer is a k-mer of code points whose smallest s-mer is its first or its last. Whether a
 k-mer is one depends on the k-mer alone, so an edit moves no anchor outside its own k-mers. A
-fingerprint keeps the anchors with the smallest hashes, with their positions, in text order; two
-fingerprints are matched along the longest chain of common anchors in the same order.
+fingerprint has all anchors with their positions, in text order; two fingerprints are matched along
+the longest chain of common anchors in the same order.
 """
 
 from __future__ import annotations
@@ -24,9 +24,12 @@ K, S = 20, 8
 #: Texts of fewer code points have k-mers of SHORT_K by s-mers of SHORT_S. From K + K - S - 1 on, any
 #: text holds a closed syncmer.
 SHORT, SHORT_K, SHORT_S = 64, 5, 2
-#: Anchors of a fingerprint. A likeness is an estimate from about as many: at one half its standard
-#: deviation is 0.06, and a passage shared by texts with many more anchors may have none kept.
+#: Anchors of a sketch, for callers of :func:`fingerprint` that ask for one. A likeness of sketches is an
+#: estimate from about as many: at one half its standard deviation is 0.06, and a passage shared by texts
+#: with many more anchors may have none kept. The query has none of it.
 KEEP = 64
+#: Characters of rows in a batch, from which on it is passed on.
+BATCH = 1 << 22
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _powers = {1: _B}
@@ -81,32 +84,50 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     return _mix(h[at] * _powers[2] + h[at + 8] * _powers[1] + h[at + 12]), at
 
 
-def fingerprint(text: str, keep: int = KEEP) -> str:
-    """``hash:position`` of the kept anchors in text order; the empty text has the empty fingerprint."""
+def ordered(text: str, keep: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first positions of a text's distinct anchors in text order, or of the ``keep`` least."""
     hashes, at = anchors(text)
     hashes, first = np.unique(hashes, return_index=True)
-    some = sorted(zip(at[first[:keep]].tolist(), hashes[:keep].tolist(), strict=True))
-    return " ".join(f"{h:016x}:{p}" for p, h in some)
+    hashes, at = hashes[:keep], at[first[:keep]]
+    order = np.argsort(at)
+    return hashes[order], at[order]
 
 
-def parse(fp: str) -> dict[int, int]:
-    return {int(a[:16], 16): int(a[17:]) for a in fp.split()}
+def written(hashes: np.ndarray, at: np.ndarray) -> str:
+    return " ".join([f"{h:016x}:{p}" for h, p in zip(hashes.tolist(), at.tolist(), strict=True)])
 
 
-def likeness(a: str, b: str, keep: int = KEEP) -> float:
-    """Share of the union's smallest anchors that both have, in one order; 1 for equal fingerprints."""
-    if a == b:
+def fingerprint(text: str, keep: int | None = None) -> str:
+    """``hash:position`` of the anchors in text order; the empty text has the empty fingerprint."""
+    return written(*ordered(text, keep))
+
+
+def parse(fp: str) -> tuple[np.ndarray, np.ndarray]:
+    both = [(int(a[:16], 16), int(a[17:])) for a in fp.split()]
+    return np.array([h for h, _ in both], np.uint64), np.array([p for _, p in both], np.int64)
+
+
+def alike(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], keep: int | None = None) -> float:
+    """:func:`likeness` of anchors as :func:`ordered` gives them."""
+    if np.array_equal(x[0], y[0]) and np.array_equal(x[1], y[1]):
         return 1.0
-    x, y = parse(a), parse(b)
-    union = sorted(x.keys() | y.keys())[:keep]
-    if not union or not x or not y:
+    if not len(x[0]) or not len(y[0]):
         return 0.0
-    both = sorted((x[h], y[h]) for h in union if h in x and h in y)
+    common, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    size = len(x[0]) + len(y[0]) - len(common)
+    if keep is not None and size > keep:
+        i, j = (w[common <= np.union1d(x[0], y[0])[keep - 1]] for w in (i, j))
+        size = keep
     chain: list[int] = []
-    for _, p in both:
-        i = bisect_left(chain, p)
-        chain[i : i + 1] = [p]
-    return len(chain) / len(union)
+    for p in j[np.argsort(i)].tolist():  # both are in text order
+        at = bisect_left(chain, p)
+        chain[at : at + 1] = [p]
+    return len(chain) / size
+
+
+def likeness(a: str, b: str, keep: int | None = None) -> float:
+    """Share of the union's anchors, or of its ``keep`` least, that both have, in one order; 1 for equal fingerprints."""
+    return 1.0 if a == b else alike(parse(a), parse(b), keep)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,19 +188,20 @@ def with_next(docs: DataFrame, derive, schema: str, id_col: str = "doc_id", text
     dealt = placed.repartitionById(n_ranges, "place").sortWithinPartitions(F.col("ahead"), F.col("id").asc_nulls_first(), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def ordered():
+        def in_order():
             for b in batches:
                 for i, t, a in zip(*(b.column(c).to_pylist() for c in (0, 1, 2)), strict=True):
                     yield i, t
                     if a:
                         return
 
-        part = []
-        for row in derive(ordered()):
+        part, size = [], 0
+        for row in derive(in_order()):
             part.append(row)
-            if len(part) == 1000:
+            size += sum(len(x) for x in row.values() if isinstance(x, str))
+            if len(part) == 1000 or size >= BATCH:
                 yield pa.RecordBatch.from_pylist(part, schema=out_schema)
-                part = []
+                part, size = [], 0
         if part:
             yield pa.RecordBatch.from_pylist(part, schema=out_schema)
 
@@ -194,13 +216,13 @@ def edited_fingerprints(rows: Iterator[tuple[int | None, str]]) -> Iterator[dict
     """Each text, its edited text (the last quarter from the next text's beginning), and likenesses."""
     last = None
     for doc_id, text in rows:
-        own = fingerprint(text)
+        own = ordered(text)
         if last is not None:
             i, t, f = last
             quarter = len(t) // 4
             edited = t[: len(t) - quarter] + text[:quarter]
-            g = fingerprint(edited)
-            yield {"doc_id": i, "n_chars": len(t), "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": f, "edited_fingerprint": g, "near_edited": likeness(f, g), "near_next": likeness(f, own)}
+            g = ordered(edited)
+            yield {"doc_id": i, "n_chars": len(t), "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), "fingerprint": written(*f), "edited_fingerprint": written(*g), "near_edited": alike(f, g), "near_next": alike(f, own)}
         last = doc_id, text, own
 
 

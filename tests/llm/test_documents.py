@@ -630,6 +630,20 @@ def test_likeness_of_longer_texts_by_definition():
             assert syncmers.likeness(*map(syncmers.fingerprint, (a, b))) == pytest.approx(brute_likeness(a, b, syncmers.K, syncmers.S))
 
 
+def test_likeness_of_long_texts_by_definition():
+    """Texts of many anchors: all count, and a passage that two have in common is seen."""
+    import random
+
+    rng = random.Random(6)
+    made = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    a, b, passage = made(6000), made(6000), made(150)
+    for x, y in ((a, a[:4500] + b[:1500]), (a[:2000] + passage + a[2000:], b[:5000] + passage + b[5000:]), (a, b)):
+        own = brute_anchors(x, syncmers.K, syncmers.S)
+        assert syncmers.fingerprint(x).count(":") == len(own) > 10 * syncmers.KEEP
+        assert syncmers.likeness(*map(syncmers.fingerprint, (x, y))) == pytest.approx(brute_likeness(x, y, syncmers.K, syncmers.S))
+    assert syncmers.likeness(*(syncmers.fingerprint(z[:3000] + passage + z[3000:]) for z in (a, b))) > 0
+
+
 def test_next_beside_clashing_columns(spark):
     rows = [(i, f"text {i} " * 20, 1, 2, "a", "t", "b") for i in (3, 1, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, place int, ahead int, at string, tie string, id string")
