@@ -420,6 +420,19 @@ def test_all_of_a_key_is_compared(spark, n_pairs):
     assert got == dict(brute_lines(rows)) and len(got) == n_pairs
 
 
+def test_lines_stage_compares_all_of_a_key(spark):
+    """The pipeline's stage on lines of one beginning, each with a copy of which most other words are edited."""
+    import corpus_pipeline
+
+    made = lambda i, j: sha(f"{i} {j}").translate(str.maketrans("0123456789", "ghijklmnop"))[:10]
+    same, rows = [made(-1, j) for j in range(4)], []
+    for i in range(30):
+        own = [made(i, j) for j in range(5)]
+        rows += [(2 * i, " ".join(same + own)), (2 * i + 1, " ".join(same + [w[:3] + "#" + w[4:] for w in own]))]
+    out = corpus_pipeline.fresh_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(tuple, out.collect())) == rows[::2]
+
+
 def test_very_long_lines(spark):
     a, b = (" ".join(f"{x}{i * 7919 % 1000:03d}x" for i in range(4000)).translate(str.maketrans("0123456789", "abcdefghij")) for x in "kq")
     rows = [(1, a), (2, a[:9000] + "edit" + a[9000:]), (3, b), (4, a + "\n" + "z" * 30_000)]
