@@ -508,6 +508,30 @@ def test_recall_of_edited_lines(spark, n_words):
     assert fuzzy_lines.removed_lines(far).count() == 0
 
 
+@pytest.mark.parametrize("n_words", [5, 9, 40, 90])
+def test_recall_of_spread_edits(spark, n_words):
+    """Lines with as many edited characters, spread over all of them, as still make a near copy, or just fewer;
+    in every tenth line most words are repeated."""
+    import random
+
+    rng = random.Random(n_words)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7)))
+    rows, near = [], []
+    for i in range(100):
+        line = " ".join([word() for _ in range(n_words)] if i % 10 else [word() for _ in range(4)] + [word(), word()] * (n_words // 2 - 1))
+        most = len(line) // 10
+        other = list(line)
+        for at in rng.sample(range(len(line)), max(1, most * (7 + i % 3) // 9)):
+            other[at] = rng.choice(["#", "", other[at] + "#"])
+        other = normal_form("".join(other))
+        rows += [(2 * i, line), (2 * i + 1, other)]
+        if distance(line, other) <= max(len(line), len(other)) // 10:
+            near.append(2 * i + 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.ord for r in fuzzy_lines.removed_lines(df).collect()}
+    assert len(near) > 60 and got <= set(near) and len(got) >= 0.95 * len(near)
+
+
 # Byte-level BPE
 
 
