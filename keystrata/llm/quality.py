@@ -15,6 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from keystrata.llm.common import find_words, table
 SAMPLE_BOUND = 6000
 THRESHOLD = 0.3
 _MEMO_WORDS = 300_000
+#: Bytes of texts that are made Python strings at once; a longer text is by itself.
+_HELD_BYTES = 1 << 20
 _shape = [(re.compile(a), b) for a, b in (("[a-zà-öø-ÿ]+", "a"), ("[A-ZÀ-ÖØ-Þ]+", "A"), ("[0-9]+", "0"), (r"(\W)\1+", r"\1+"), ("[^\x00-\x7f]", "u"))]
 #: Bytes as classes: other, lower, upper, digit, white space, punctuation, above ASCII.
 _CLASS = np.array([6 if b > 127 else 1 if chr(b).islower() else 2 if chr(b).isupper() else 3 if chr(b).isdigit() else 4 if b in b" \t\n\r\v\f" else 5 if 32 < b < 127 else 0 for b in range(256)], np.uint8)
@@ -126,6 +129,17 @@ def fold(id_col) -> F.Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5
 
 
+def rows_of(columns: list[pa.Array]) -> Iterator[tuple]:
+    """The rows of a text column and others, made Python objects a few texts at a time: a whole batch
+    of 10,000 texts would be held twice."""
+    at, n = 0, len(columns[0])
+    ends = np.cumsum(pc.fill_null(pc.binary_length(columns[0]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _HELD_BYTES, "right")))
+        yield from zip(*(c.slice(at, to - at).to_pylist() for c in columns), strict=True)
+        at = to
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metadata: tuple[str, ...] = ("n_chars",), bound: int = SAMPLE_BOUND) -> FactorisationMachine:
     """Fit on at most ``bound`` labelled documents outside fold 0, features made on the executors.
 
@@ -142,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", metada
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in batches:
-            rows = [features(t, m) for t, *m in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+            rows = [features(t, m) for t, *m in rows_of(b.columns[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float32()))], names=["y", "i", "v"])
 
     got = picked.mapInArrow(featurise, "y double, i array<int>, v array<float>").toArrow()
@@ -163,7 +177,7 @@ def score_documents(docs: DataFrame, model: FactorisationMachine, metadata: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, score = Features(), shared.value.score
         for b in batches:
-            scores = [score(*features(t, m)) for t, *m in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+            scores = [score(*features(t, m)) for t, *m in rows_of(b.columns[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(m).alias(f"m{i}") for i, m in enumerate(metadata)))
@@ -179,7 +193,7 @@ def keep_good(docs: DataFrame, model: FactorisationMachine, threshold: float = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, score = Features(), shared.value.score
         for b in batches:
-            yield b.filter(pa.array([score(*features(t, m)) >= threshold for t, *m in zip(*(b.column(i).to_pylist() for i in at), strict=True)], pa.bool_()))
+            yield b.filter(pa.array([score(*features(t, m)) >= threshold for t, *m in rows_of([b.column(i) for i in at])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

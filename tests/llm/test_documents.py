@@ -2,9 +2,12 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -83,6 +86,26 @@ def test_quality_of_awkward_rows(spark):
     assert quality.score_documents(rows.limit(0), model).count() == 0
 
 
+def test_quality_holds_few_texts(spark):
+    """The pipeline's stage on a batch of 64 texts of a megabyte, of which a few are Python strings at a time."""
+    texts = [f"text {i} " + "x" * 1_000_000 for i in range(64)] + ["", None]
+    batch, scored = pa.RecordBatch.from_pydict({"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}), []
+    model = SimpleNamespace(score=lambda i, v: scored.append(len(i)) or len(scored) % 2)
+    found = SimpleNamespace(columns=["text", "n_chars"], schema=None, mapInArrow=lambda f, schema: f)
+    found.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+    run = quality.keep_good(found, model)
+    del texts
+    tracemalloc.start()
+    try:
+        out = list(run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pa.Table.from_batches(out).equals(pa.Table.from_batches([batch]).take(list(range(0, 66, 2)))) and len(scored) == 66
+    assert most < 40e6
+    assert [t for t, _ in quality.rows_of(batch.columns)] == batch.column(0).to_pylist() and not list(quality.rows_of(batch.slice(0, 0).columns))
+
+
 def test_pairwise_part_is_the_sum_over_pairs():
     rng = np.random.default_rng(1)
     m = quality.FactorisationMachine(0.1, rng.normal(size=50), rng.normal(size=(50, 4)))
