@@ -1,6 +1,7 @@
 """Operators over documents against brute force: on the small tables and on rows made to be awkward."""
 
 import hashlib
+import pathlib
 import re
 import tracemalloc
 from collections import defaultdict
@@ -480,6 +481,37 @@ def test_lines_beside_clashing_columns(spark):
     assert [tuple(r) for r in got] == [(i, ("the same line here\n" if not i else "") + "abc"[i] * 9, "r", "l", i, 1, 2, "g", "k", "y") for i in range(3)]
 
 
+def test_disk_of_lines(spark, monkeypatch, tmp_path):
+    """What the first steps of line dedup, up to the keys of blocks, have on disk at most, a step's shuffles and the tables there are, beside the size of the input."""
+    import random
+
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    text = lambda: "\n".join(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(20, 60))) for _ in range(10))
+    spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    df, write, steps = spark.read.parquet(str(tmp_path / "in")), fuzzy_lines.materialize, []
+    folder = fuzzy_lines.materialize.__globals__["shared_dir"](spark).removeprefix("file:")
+    there = lambda top: sum(f.stat().st_size for f in pathlib.Path(top).rglob("*.parquet"))
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    def measured(df, tag, *a):
+        before = shuffled()
+        out = write(df, tag, *a)
+        steps.append((shuffled() - before + there(folder) - floor, tag))
+        if tag == "line-keys":
+            raise InterruptedError
+        return out
+
+    monkeypatch.setattr(fuzzy_lines, "materialize", measured)
+    floor = there(folder)
+    with pytest.raises(InterruptedError):
+        fuzzy_lines.removed_lines(df)
+    assert max(steps)[0] < 2.8 * there(tmp_path / "in"), [(round(n / there(tmp_path / "in"), 2), tag) for n, tag in steps]
+
+
 def brute_block(words):
     """The SimHash of a block's words, a bit at a time."""
     h, out = [xxh(w) for w in words], 0
