@@ -481,6 +481,48 @@ def test_lines_beside_clashing_columns(spark):
     assert [tuple(r) for r in got] == [(i, ("the same line here\n" if not i else "") + "abc"[i] * 9, "r", "l", i, 1, 2, "g", "k", "y") for i in range(3)]
 
 
+def test_unlike_lines_of_a_key_make_no_rows(spark, monkeypatch):
+    """Lines that have a run in common and nothing else are compared without a row for each two of them; one has a copy."""
+    import random
+
+    rng, write, made = random.Random(5), fuzzy_lines.materialize, []
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 8)))
+    rows = [(i, " ".join([word() for _ in range(12)] + ["common", "run", "of", "several", "words"] + [word() for _ in range(12)])) for i in range(80)]
+    rows.append((99, "".join("#" if n % 11 == 5 and "common" not in rows[40][1][n - 5 : n + 30] else c for n, c in enumerate(rows[40][1]))))
+
+    def counted(df, tag, *a):
+        out = write(df, tag, *a)
+        if tag == "line-unlike":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(fuzzy_lines, "materialize", counted)
+    got = {(r.ord, r.th): set(r.gone) for r in fuzzy_lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(brute_lines(rows)) and len(got) == 1
+    assert made and sum(made) <= 80  # 80 * 79 / 2 pairs have the key
+
+
+def test_missing_pieces_bound_the_distance(spark):
+    """What sketches count is never more than the edits, at lengths where their sizes change and in lines that repeat words."""
+    import random
+
+    rng, rows = random.Random(6), []
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
+    for i in range(240):
+        n = [3, 4, 5, 30, 99, 104, 200, 409, 415, 820, 1640][i % 11]
+        line = " ".join(word() for _ in range(n)) if i % 3 else " ".join([word()] * (n // 3 + 1) + [word() for _ in range(3)])
+        a = b = line[:n].strip() or "x"
+        for _ in range(rng.randint(0, 2 + n // 10)):
+            at = rng.randint(0, len(b))
+            b = b[:at] + rng.choice(["", "#", " ab"]) + b[at + rng.randint(0, 1) :]
+        rows.append((i, a, b or "y"))
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    for counted in (False, True):
+        a, b = (fuzzy_lines.sketches(df.select("id", F.col(x).alias("text")), counted).toDF("id", f"{x}_pieces", f"{x}_grams") for x in "ab")
+        got = df.join(a, "id").join(b, "id").select(F.levenshtein("a", "b").alias("d"), fuzzy_lines.missing(F.col("a_pieces"), F.col("b_grams")).alias("x"), fuzzy_lines.missing(F.col("b_pieces"), F.col("a_grams")).alias("y")).collect()
+        assert len(got) == len(rows) and all(max(r.x, r.y) <= r.d for r in got) and sum(r.x + r.y for r in got) > sum(r.d for r in got) / 4
+
+
 def test_disk_of_lines(spark, monkeypatch, tmp_path):
     """What the first steps of line dedup, up to the keys of blocks, have on disk at most, a step's shuffles and the tables there are, beside the size of the input."""
     import random
