@@ -374,13 +374,7 @@ SELECT 'reads_total' AS metric, count(DISTINCT key) AS value FROM w UNION ALL SE
 def kv_read_path(spark, sf_dir):
     """Skips and false positives of reading every key, table by table from the newest to the first that has it."""
     entries = flush.segment_entries(kv_events(spark, sf_dir)).select("segment_id", "key")
-    sizes = bloom.filter_sizes(entries)
-    # as many segments as tables are open: their list goes beside each key
-    tables = [r["segment_id"] for r in sizes.select("segment_id").collect()]
-    asked = entries.select("key").distinct().select("key", F.explode(F.array(*map(F.lit, tables))).alias("segment_id"))
-    hits = bloom.might_contain(bloom.bloom_words(entries, sizes), sizes, asked)
-    there = entries.withColumn("present", F.lit(True))
-    return metrics.read_path(hits.join(there, ["segment_id", "key"], "left").withColumn("present", F.coalesce("present", F.lit(False))))
+    return metrics.read_rows(bloom.read_counts(entries))
 
 
 _BUCKETS = ", ".join(f"({b}::DOUBLE)" for b in LATENCY_BUCKETS_MS)

@@ -57,12 +57,17 @@ def murmur3_128(keys: list[bytes], seed: int = HASH_SEED) -> tuple[np.ndarray, n
     return h1, h2
 
 
-def probe_positions(keys: list[bytes], bits: np.ndarray, probes: int = BLOOM_PROBES) -> np.ndarray:
-    """The bits of a filter of ``bits`` bits that each key sets: (h1 + i * h2) without sign, modulo."""
+def probe_hashes(keys: list[bytes], probes: int = BLOOM_PROBES) -> np.ndarray:
+    """What each key's probes are before they are taken modulo a filter's bits: (h1 + i * h2) without sign."""
     h1, h2 = murmur3_128(keys)
     with np.errstate(over="ignore"):
         mixed = h1[:, None] + np.arange(probes, dtype=_U)[None, :] * h2[:, None]
-    return ((mixed & _U(0x7FFFFFFFFFFFFFFF)) % bits.astype(_U)[:, None]).astype(np.int64)
+    return mixed & _U(0x7FFFFFFFFFFFFFFF)
+
+
+def probe_positions(keys: list[bytes], bits: np.ndarray, probes: int = BLOOM_PROBES) -> np.ndarray:
+    """The bits of a filter of ``bits`` bits that each key sets."""
+    return (probe_hashes(keys, probes) % bits.astype(_U)[:, None]).astype(np.int64)
 
 
 @F.pandas_udf(ArrayType(LongType()))

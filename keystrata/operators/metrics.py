@@ -20,8 +20,12 @@ def read_metrics(lookups: DataFrame) -> DataFrame:
     Reads are distinct keys; a skip is a table ruled out by its filter; a false positive is a table
     that the filter let through without the key.
     """
-    one = lookups.agg(F.countDistinct("key").alias("reads_total"), F.count_if(~F.col("might_contain")).alias("bloom_skips_total"), F.count_if(F.col("might_contain") & ~F.col("present")).alias("bloom_false_positives_total"))
-    return one.select(F.expr("stack(3, 'reads_total', reads_total, 'bloom_skips_total', bloom_skips_total, 'bloom_false_positives_total', bloom_false_positives_total) AS (metric, value)"))
+    return read_rows(lookups.agg(F.countDistinct("key").alias("reads"), F.count_if(~F.col("might_contain")).alias("skips"), F.count_if(F.col("might_contain") & ~F.col("present")).alias("false_positives")))
+
+
+def read_rows(one: DataFrame) -> DataFrame:
+    """(metric, value) of one row (reads, skips, false_positives)."""
+    return one.select(F.expr("stack(3, 'reads_total', reads, 'bloom_skips_total', skips, 'bloom_false_positives_total', false_positives) AS (metric, value)"))
 
 
 def read_path(lookups: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Point reads from table files: blocks, cache, filters, and the walk from newest to oldest."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from keystrata.operators import metrics
+from keystrata import catalogue
+from keystrata.operators import bloom, metrics
 from keystrata.plans.fixtures import AS_OF_MS, kv_events
 from keystrata.schema import CHANGELOG, DELETE, PUT
 from keystrata.sources import sst
@@ -66,3 +68,28 @@ def test_damaged_tables_raise(spark, tmp_path):
     (tmp_path / "x.sst").write_bytes(b"short")
     with pytest.raises(ValueError):
         TableSet(spark, [str(tmp_path / "x.sst")])
+
+
+@pytest.mark.parametrize("block_bits, parts", [(1, 1), (3_000, 3), (1 << 28, 2)])
+def test_read_counts_equal_a_row_for_each_key_and_table(spark, block_bits, parts):
+    # segments of unlike sizes, beyond 32 bits of one and far apart ids; some keys are in several
+    rows = [(s * 7 - 20, f"k{i * i % 997}-{i % (s + 2)}") for s in range(12) for i in range(s * 9 + 5)]
+    entries = spark.createDataFrame(sorted(set(rows)), "segment_id long, key string")
+    sizes = bloom.filter_sizes(entries)
+    asked = entries.select("key").distinct().crossJoin(sizes.select("segment_id"))
+    hits = bloom.might_contain(bloom.bloom_words(entries, sizes), sizes, asked)
+    lookups = hits.join(entries.withColumn("present", F.lit(True)), ["segment_id", "key"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    want = {r.metric: r.value for r in metrics.read_path(lookups).collect()}
+    got = {r.metric: r.value for r in metrics.read_rows(bloom.read_counts(entries, block_bits, parts)).collect()}
+    assert got == want and want["bloom_skips_total"] > 0
+
+
+def test_read_counts_of_nothing(spark):
+    assert tuple(bloom.read_counts(spark.createDataFrame([], "segment_id long, key string")).head()) == (0, 0, 0)
+
+
+def test_read_path_of_keys_in_the_oldest_table(spark, tmp_path):
+    # 60 segments, all keys in the first and one in the others
+    spark.range(60_000).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "CASE WHEN id < 1000 THEN id ELSE 7 END AS user_id", "'view' AS event_type", "1.0D AS value", "'{\"k\": 1}' AS props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.metric: r.value for r in catalogue.kv_read_path(spark, str(tmp_path)).collect()}
+    assert got["reads_total"] == 1000 and got["bloom_skips_total"] + got["bloom_false_positives_total"] == 999 * 59
