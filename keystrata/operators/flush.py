@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,37 +10,41 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.codec import accounted_size, entry_size
 from keystrata.operators.resolve import latest
+from keystrata.plans.fold import STEP_ROWS, fold_in_order
 from keystrata.plans.shared import ranged
 from keystrata.schema import FLUSH_BYTES
 
 
-def plan_flush(changelog: DataFrame, threshold_bytes: int = FLUSH_BYTES, shards: int = 1) -> DataFrame:
+def plan_flush(changelog: DataFrame, threshold_bytes: int = FLUSH_BYTES, shards: int = 1, step_rows: int = STEP_ROWS) -> DataFrame:
     """(shard, flush_id, seq_num, key, net_bytes): the segment of every write.
 
     In the order of sequence numbers a buffer holds one entry per key; its size is net of overwritten
-    entries, and when it reaches the threshold the buffer is a segment and a new one begins. That
-    fold is sequential, so it streams over a sorted partition and holds one buffer at a time, never
-    a whole shard. With several shards each key belongs to one by its hash, with its own buffers.
+    entries, and when it reaches the threshold the buffer is a segment and a new one begins. Where a
+    buffer is cut depends on all cuts before, so that fold is one sequence; it goes a range of numbers at
+    a time and hands one buffer on, never a whole shard. With several shards each key belongs to one by
+    its hash, with its own buffers.
     """
     rows = changelog.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "seq_num", "key", accounted_size().cast("long").alias("size"))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "seq_num")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, flush, net, sizes = None, 0, 0, {}
-        for batch in batches:
-            ids, nets = [], []
-            for s, _, key, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != shard:
-                    shard, flush, net, sizes = s, 0, 0, {}
-                net += size - sizes.get(key, 0)
-                sizes[key] = size
-                ids.append(flush)
-                nets.append(net)
-                if net >= threshold_bytes:
-                    flush, net, sizes = flush + 1, 0, {}
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), batch.column(1), batch.column(2), pa.array(nets, pa.int64())], names=["shard", "flush_id", "seq_num", "key", "net_bytes"])
-
-    return rows.mapInArrow(fold, "shard int, flush_id long, seq_num long, key string, net_bytes long")
+    return fold_in_order(rows, "shard", ["seq_num"], partial(_Buffer, threshold_bytes), "shard int, flush_id long, seq_num long, key string, net_bytes long", step_rows)
+
+
+class _Buffer:
+    """The buffer that is open: its number, net size and the size of each key's entry."""
+
+    def __init__(self, threshold_bytes: int):
+        self.threshold, self.flush, self.net, self.sizes = threshold_bytes, 0, 0, {}
+
+    def take(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        flush, net, sizes, ids, nets = self.flush, self.net, self.sizes, [], []
+        for key, size in zip(batch["key"].to_pylist(), batch["size"].to_pylist(), strict=True):
+            net += size - sizes.get(key, 0)
+            sizes[key] = size
+            ids.append(flush)
+            nets.append(net)
+            if net >= self.threshold:
+                flush, net, sizes = flush + 1, 0, {}
+        self.flush, self.net, self.sizes = flush, net, sizes
+        return pa.RecordBatch.from_arrays([batch["shard"], pa.array(ids, pa.int64()), batch["seq_num"], batch["key"], pa.array(nets, pa.int64())], names=["shard", "flush_id", "seq_num", "key", "net_bytes"])
 
 
 def flush_summary(plan: DataFrame, threshold_bytes: int = FLUSH_BYTES) -> DataFrame:

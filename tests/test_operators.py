@@ -233,3 +233,21 @@ def test_metrics_and_text(spark):
     lines = [r.line for r in metrics.histogram_exposition(h, "read_latency_ms").collect()]
     assert 'read_latency_ms_bucket{le="+Inf"} 3' in lines and "read_latency_ms_count 3" in lines
     assert "writes_total 2" in [r.line for r in metrics.exposition(metrics.write_metrics(rows)).collect()]
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_flush_plan_in_steps(spark, shards):
+    # buffers of a few writes, of many, and one that never fills: cuts lie before, in and behind steps' edges
+    rows = log(spark, *((f"key-{i * i % 23}", "x" * (i * 7 % 31), 3 * i, 0, 0, 0) for i in range(400)))
+    for threshold in (40, 150, 450, 1 << 20):
+        want = sorted(map(tuple, flush.plan_flush(rows, threshold, shards).collect()))
+        assert sorted(map(tuple, flush.plan_flush(rows, threshold, shards, step_rows=37).collect())) == want and len(want) == 400
+    by_hand, net, sizes, n = [], 0, {}, 0
+    for r in sorted(rows.collect(), key=lambda r: r.seq_num):
+        size = len(r.key) + len(r.value)
+        net, sizes = net + size - sizes.get(r.key, 0), sizes | {r.key: size}
+        by_hand.append((n, r.seq_num, net))
+        if net >= 150:
+            net, sizes, n = 0, {}, n + 1
+    if shards == 1:
+        assert [(r.flush_id, r.seq_num, r.net_bytes) for r in flush.plan_flush(rows, 150, step_rows=50).orderBy("seq_num").collect()] == by_hand
