@@ -6,11 +6,16 @@ read on. A record that is sound but has an unknown type is an error.
 
 from __future__ import annotations
 
+import contextlib
+import os
 import struct
+import uuid
 from collections.abc import Iterator
+from functools import partial
 from zlib import crc32
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,10 +90,59 @@ def read_wal(spark: SparkSession, path: str) -> DataFrame:
 
 def write_wal(changelog: DataFrame, path: str) -> None:
     """Log files in a folder that Spark can write to; a file appears whole or not at all."""
-    names = wal_files(changelog)
-    spark = changelog.sparkSession
-    fs, Path = hadoop(spark, path)
-    for row in names.toLocalIterator():  # one log at a time
+    put_files(wal_files(changelog), path)
+
+
+def put_files(files: DataFrame, path: str) -> None:
+    """Files (name, content) in a folder, each written by the executor that has its content, and whole or
+    not at all. Only of a file system that pyarrow does not know files go through the driver, one at a time."""
+    fs, Path = hadoop(files.sparkSession, path)
+    fs.mkdirs(Path(path))
+    uri = fs.makeQualified(Path(path)).toUri()
+    if uri.getScheme() == "file":
+        put = partial(_put_local, uri.getPath())
+    else:
+        uri = uri.toString()
+        try:
+            pa.fs.FileSystem.from_uri(uri)
+        except (pa.ArrowException, OSError):
+            return _put_from_driver(files, path)
+        put = partial(_put_remote, uri)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                put(name.as_py(), content.as_buffer())
+            yield batch.select(["name"])
+
+    files.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+def _put_local(folder: str, name: str, content: pa.Buffer) -> None:
+    tmp = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
+    with open(tmp, "xb") as f:
+        f.write(content)
+        f.flush()
+        os.fsync(f.fileno())
+    # Hadoop's checksum of a file that was there before
+    with contextlib.suppress(FileNotFoundError):
+        os.remove(f"{folder}/.{name}.crc")
+    os.replace(tmp, f"{folder}/{name}")
+
+
+def _put_remote(uri: str, name: str, content: pa.Buffer) -> None:
+    fs, folder = pa.fs.FileSystem.from_uri(uri)
+    tmp = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(tmp) as f:
+        f.write(content)
+    if fs.get_file_info(f"{folder}/{name}").type == pa.fs.FileType.File:
+        fs.delete_file(f"{folder}/{name}")
+    fs.move(tmp, f"{folder}/{name}")
+
+
+def _put_from_driver(files: DataFrame, path: str) -> None:
+    fs, Path = hadoop(files.sparkSession, path)
+    for row in files.toLocalIterator():
         tmp, out = Path(f"{path}/.{row['name']}.tmp"), Path(f"{path}/{row['name']}")
         stream = fs.create(tmp, True)
         try:

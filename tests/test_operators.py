@@ -251,3 +251,25 @@ def test_flush_plan_in_steps(spark, shards):
             net, sizes, n = 0, {}, n + 1
     if shards == 1:
         assert [(r.flush_id, r.seq_num, r.net_bytes) for r in flush.plan_flush(rows, 150, step_rows=50).orderBy("seq_num").collect()] == by_hand
+
+
+def test_logs_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch):
+    rows = log(spark, *((f"key-{i}", "v" * (i % 50), i, 0, 0, i // 50) for i in range(300)))
+    want = {r["name"]: bytes(r["content"]) for r in wal.wal_files(rows).collect()}
+    writer = wal.LogWriter(spark, f"{tmp_path}/a b", 2)  # its file has a checksum beside it
+    writer.append("old", b"", 0, 1)
+    writer.close()
+
+    def refuse(*_):
+        raise AssertionError("rows go to the driver")
+
+    for name in ("collect", "toLocalIterator", "toArrow", "toPandas"):
+        monkeypatch.setattr(type(rows), name, refuse)
+    for path in (f"{tmp_path}/a b", f"file://{tmp_path}/c"):
+        wal.write_wal(rows, path)
+    wal.write_wal(rows.where("false"), f"{tmp_path}/none")
+    monkeypatch.undo()
+    for folder in ("a b", "c"):
+        assert {p.name: p.read_bytes() for p in (tmp_path / folder).iterdir()} == want and len(want) == 6
+        assert wal.read_wal(spark, f"{tmp_path}/{folder}").count() == 300
+    assert wal.read_wal(spark, f"{tmp_path}/none").count() == 0
