@@ -273,3 +273,18 @@ def test_logs_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch):
         assert {p.name: p.read_bytes() for p in (tmp_path / folder).iterdir()} == want and len(want) == 6
         assert wal.read_wal(spark, f"{tmp_path}/{folder}").count() == 300
     assert wal.read_wal(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_tables_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch):
+    rows = log(spark, *((f"key-{i % 70}", "v" * (i % 50), i, i % 2, 0, i // 50) for i in range(300)))
+    want = {f"sstable-{r['segment_id']:020d}.sst": bytes(r["content"]) for r in sst.table_files(rows).collect()}
+
+    def refuse(*_):
+        raise AssertionError("rows go to the driver")
+
+    for name in ("collect", "toLocalIterator", "toArrow", "toPandas"):
+        monkeypatch.setattr(type(rows), name, refuse)
+    sst.write_tables(rows, f"{tmp_path}/t")
+    sst.write_tables(rows, f"{tmp_path}/t")
+    monkeypatch.undo()
+    assert {p.name: p.read_bytes() for p in (tmp_path / "t").iterdir()} == want and len(want) == 6
