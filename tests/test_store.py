@@ -117,3 +117,21 @@ def test_http(spark, tmp_path):
 
 def test_parameters():
     assert parameters("a=1&b&=x&a=2+3&c=%26") == {"a": "2 3", "c": "&"}
+
+
+def test_recovery_sends_no_log_to_the_driver(spark, tmp_path, monkeypatch):
+    from keystrata.plans.fixtures import kv_events
+    from keystrata.sources import wal
+    from tests.conftest import SF
+
+    rows = kv_events(spark, SF)
+
+    def refuse(*_):
+        raise AssertionError("rows go to the driver")
+
+    monkeypatch.setattr(type(rows), "toLocalIterator", refuse)
+    wal.write_wal(rows, f"{tmp_path}/logs")
+    stats = Store(spark, f"{tmp_path}/store").recover(f"{tmp_path}/logs")
+    monkeypatch.undo()
+    keys = rows.select("key").distinct().count()
+    assert (stats["entries"], stats["keys"]) == (1000, keys) and Store(spark, f"{tmp_path}/store").changelog().count() == keys
