@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.plans.fold import STEP_ROWS, fold_in_order
 from keystrata.schema import CACHE_BLOCKS
 
 
@@ -40,26 +41,25 @@ class LRU:
         return len(self.blocks)
 
 
-def cache_trace(accesses: DataFrame, capacity: int = CACHE_BLOCKS, cache_col: str | None = None) -> DataFrame:
+def cache_trace(accesses: DataFrame, capacity: int = CACHE_BLOCKS, cache_col: str | None = None, step_rows: int = STEP_ROWS) -> DataFrame:
     """(cache, at, block, hit) for accesses (at, block), each cache by itself and in the order of ``at``.
 
-    The fold streams over a sorted partition and holds ``capacity`` blocks; capacity 0 caches nothing.
+    The fold goes a range of ``at`` at a time and hands ``capacity`` blocks on; capacity 0 caches nothing.
     """
     cache = F.col(cache_col).cast("string") if cache_col else F.lit("")
     rows = accesses.select(cache.alias("cache"), F.col("at").cast("long").alias("at"), F.col("block").cast("string").alias("block"))
-    rows = (rows.repartition("cache") if cache_col else rows.repartition(1)).sortWithinPartitions("cache", "at", "block")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, lru = None, None
-        for batch in batches:
-            hits = []
-            for c, _, block in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if lru is None or c != name:
-                    name, lru = c, LRU(capacity)
-                hits.append(lru.access(block))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], names=["cache", "at", "block", "hit"])
-
-    return rows.mapInArrow(fold, "cache string, at long, block string, hit boolean")
+    return fold_in_order(rows, "cache", ["at", "block"], partial(_Trace, capacity), "cache string, at long, block string, hit boolean", step_rows)
+
+
+class _Trace:
+    """A cache that notes what it hits."""
+
+    def __init__(self, capacity: int):
+        self.lru = LRU(capacity)
+
+    def take(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        hits = pa.array(map(self.lru.access, batch["block"].to_pylist()), pa.bool_())
+        return pa.RecordBatch.from_arrays([batch["cache"], batch["at"], batch["block"], hits], names=["cache", "at", "block", "hit"])
 
 
 def cache_stats(trace: DataFrame) -> DataFrame:

@@ -288,3 +288,20 @@ def test_tables_are_not_sent_to_the_driver(spark, tmp_path, monkeypatch):
     sst.write_tables(rows, f"{tmp_path}/t")
     monkeypatch.undo()
     assert {p.name: p.read_bytes() for p in (tmp_path / "t").iterdir()} == want and len(want) == 6
+
+
+def _traced(rows, capacity):
+    out, caches = [], {}
+    for name, at, block in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        lru = caches.setdefault(name, cache.LRU(capacity))
+        out.append((name, at, block, lru.access(block)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("capacity", [0, 1, 3, 9])
+def test_cache_trace_in_steps(spark, capacity):
+    # caches with all, few and no accesses in a step, one without a name, and equal accesses
+    rows = [(("a", "b", None)[i % 3 if i < 90 else 0], i * i % 150, f"b{i * 7 % 11}") for i in range(200)] + [("a", 20, "b1")] * 3
+    df = spark.createDataFrame(rows, "cache string, at long, block string")
+    got = cache.cache_trace(df, capacity, "cache", step_rows=23).collect()
+    assert sorted(map(tuple, got), key=repr) == _traced(rows, capacity)
