@@ -6,10 +6,11 @@ from collections import OrderedDict
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.plans.fold import STEP_ROWS, fold_in_order
+from keystrata.plans.shared import ranged
 from keystrata.schema import CACHE_BLOCKS
 
 
@@ -45,12 +46,24 @@ def cache_trace(accesses: DataFrame, capacity: int = CACHE_BLOCKS, cache_col: st
     """(cache, at, block, hit) for accesses (at, block), each cache by itself and in the order of ``at``.
 
     The fold goes a range of ``at`` at a time and hands ``capacity`` blocks on; capacity 0 caches nothing.
+    A cache with room for all accesses evicts nothing and needs no fold.
     """
     cache = F.col(cache_col).cast("string") if cache_col else F.lit("")
     rows = accesses.select(cache.alias("cache"), F.col("at").cast("long").alias("at"), F.col("block").cast("string").alias("block"))
+    if rows.count() <= capacity:
+        return _without_evictions(rows)
     return fold_in_order(rows, "cache", ["at", "block"], partial(_Trace, capacity), "cache string, at long, block string, hit boolean", step_rows)
 
 
+def _without_evictions(rows: DataFrame) -> DataFrame:
+    """The trace of accesses where only a block's first misses. The first in each range of ``at`` are found
+    in their ranges, and the first of those over all, so no task has all accesses to a block."""
+    rows = ranged(rows, "at", "block", "cache").withColumn("_first", F.row_number().over(Window.partitionBy("cache", "block", "_part").orderBy("at")) == 1)
+    again = rows.where("NOT _first").withColumn("hit", F.lit(True))
+    first = rows.where("_first").withColumn("hit", F.row_number().over(Window.partitionBy("cache", "block").orderBy("_part")) > 1)
+    return again.unionByName(first).select("cache", "at", "block", "hit")
+
+
 class _Trace:
     """A cache that notes what it hits."""
 

@@ -305,3 +305,17 @@ def test_cache_trace_in_steps(spark, capacity):
     df = spark.createDataFrame(rows, "cache string, at long, block string")
     got = cache.cache_trace(df, capacity, "cache", step_rows=23).collect()
     assert sorted(map(tuple, got), key=repr) == _traced(rows, capacity)
+
+
+def test_cache_with_room_for_all_keeps_nothing_in_a_task(spark, monkeypatch):
+    rows = [(("a", "b", None)[i % 3], i * i % 150, f"b{i * 7 % 11}") for i in range(200)] + [("a", 20, "b1")] * 3
+    df = spark.createDataFrame(rows, "cache string, at long, block string").repartition(7)
+
+    def refuse(*_):
+        raise AssertionError("a fold over all accesses")
+
+    monkeypatch.setattr(cache, "fold_in_order", refuse)
+    for capacity in (203, 1 << 40):
+        assert sorted(map(tuple, cache.cache_trace(df, capacity, "cache").collect()), key=repr) == _traced(rows, capacity)
+    monkeypatch.undo()
+    assert sorted(map(tuple, cache.cache_trace(df, 202, "cache").collect()), key=repr) == _traced(rows, 202)
