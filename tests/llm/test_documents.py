@@ -2,6 +2,7 @@
 
 import hashlib
 import pathlib
+import random
 import re
 import tracemalloc
 from collections import defaultdict
@@ -797,3 +798,18 @@ def test_syncmers_by_definition():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert syncmers.with_next(df, syncmers.edited_fingerprints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").count() == 0
+
+
+def test_folded_sketches_bound_no_sharper_than_whole_ones(spark):
+    # lines of one to four times the least longs; where there is no more than the least, the bounds are equal
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    forms = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.choice([4, 30, 60, 120])))) for i in range(40)], "id long, text string")
+    few = range(fuzzy_lines.GRAM_LONGS[0])
+    a = fuzzy_lines.folded_sketches(forms)
+    b = a.toDF(*(f"b_{c}" for c in a.columns))
+    folded = sum(F.bit_count(F.col(f"p{k}").bitwiseAND(F.bitwise_not(F.col(f"b_g{k}")))) for k in few)
+    rows = a.crossJoin(b).where("size(pieces) <= 2 * size(b_grams) AND size(b_grams) <= 2 * size(pieces)")
+    rows = rows.select("id", "b_id", F.size("pieces").alias("n"), F.size("b_grams").alias("m"), folded.alias("folded"), fuzzy_lines.missing(F.col("pieces"), F.col("b_grams")).alias("whole")).collect()
+    assert all(r.folded <= r.whole and (r.n > len(few) or r.folded == r.whole) for r in rows)
+    assert {r.n for r in rows} > {16, 32} and all(r.whole == 0 for r in rows if r.id == r.b_id) and any(r.folded > 0 for r in rows)
